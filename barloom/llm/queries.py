@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets
+from . import exact_dedup, jaccard_join, packing, secrets, url_filter
 from .common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,70 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op4_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(spark, table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup_exact(spark, table(spark, sf_dir, "documents"))
+
+
+_SQL["op6_exact_dedup"] = """
+WITH each AS (
+  SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents
+)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, text_sha256
+FROM each WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+#: Labels of hosts whose pages make up the list. A production list is a table of canonical URLs.
+LISTED_HOSTS = ("ads-track", "spam-farm", "casino-win", "cheap-pills", "free-bets", "adult-x")
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    bad = F.arrays_overlap(F.split(url_filter.host_of(F.col("url")), "[.]"), F.array(*map(F.lit, LISTED_HOSTS)))
+    listed = pages.where(bad).select(url_filter.canonical(F.col("url")).alias("url"))
+    return url_filter.filter_urls(spark, pages, listed).drop("listed")
+
+
+_SQL["op8_url_filter"] = r"""
+WITH cut AS (
+  SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)', 1, 's'), '') AS path,
+    regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's') AS query
+  FROM pages
+), canon AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN
+    regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(regexp_replace(path, '(?:/+|/index)$', ''), '\.html?$', '')
+    || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid)(?:=|$)'))), '&'), ''), '') END AS canonical,
+    CASE
+      WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+      WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+      WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/'
+    END AS rule
+  FROM cut
+), listed AS (
+  SELECT DISTINCT canonical AS url FROM canon
+  WHERE canonical IS NOT NULL AND list_has_any(string_split(host, '.'), ['ads-track', 'spam-farm', 'casino-win', 'cheap-pills', 'free-bets', 'adult-x'])
+)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN canonical IN (SELECT url FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM canon
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
