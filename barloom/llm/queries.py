@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, jaccard_join, packing, secrets, toxicity, url_filter
+from . import ann, exact_dedup, jaccard_join, licenses, line_dedup, mixing, packing, secrets, toxicity, url_filter
 from .common import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,12 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(spark, table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -72,6 +78,16 @@ FROM each WINDOW same AS (PARTITION BY text_sha256)
 LISTED_HOSTS = ("ads-track", "spam-farm", "casino-win", "cheap-pills", "free-bets", "adult-x")
 
 
+#: Sources and topics are tempered, languages given. Sources of one size get equal shares.
+MIX_TARGETS = {"source": 0.3, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.5}
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(spark, mixing.describe(docs, mixing.fit_topics(docs)), MIX_TARGETS)
+
+
 @query
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
@@ -109,6 +125,14 @@ FROM canon
 """
 
 
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    told = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string")))
+    changed = F.flatten(F.transform("licenses", lambda x: x["differences"]))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join(told, ",").alias("licenses"), F.array_join(changed, " ").alias("differences"))
+
+
 @query
 def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark, table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
