@@ -246,6 +246,25 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, model: Model, text_col: str = "text", neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold; nothing is joined or shuffled."""
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            stays = []
+            for (text,) in rows_of(batch, text_col):
+                found = term_counts(text, m.wanted)
+                near = m.index.nearest([m.wanted[t] for t in found], list(found.values()), neighbours)
+                stays.append(m.index.score(m.index.vote(*near)) < threshold)
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def may_learn(doc_id):
     """Rows of the training folds: crc32 of the id as text, mod 3, is not 1."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 != 1
