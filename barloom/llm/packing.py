@@ -35,7 +35,7 @@ class Encoder:
     beyond the set for which normalisation and splitting are restated here go to the tokenizer whole.
     """
 
-    #: Pre-tokens remembered; then forgotten all at once.
+    #: Pre-tokens remembered in each of two generations; the older one is forgotten when the newer one is full.
     REMEMBER = 400_000
 
     def __init__(self, path: str):
@@ -46,7 +46,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        #: whether an id ends a pre-token
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.plain = re.compile(r"[\t\n\r\x20-\x7e\xc0-\xff]*").fullmatch
         #: Fixed value: the splitting pattern of the vocabulary file, over the plain characters.
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z\xdf-\xf6\xf8-\xff0-9]+").findall
@@ -59,16 +64,30 @@ class Encoder:
             return b""
         if not self.plain(text):
             return self.whole(text)
-        parts, known = self.split(text.lower()), self.known
-        try:
-            return b"".join(map(known.__getitem__, parts))
-        except KeyError:
-            if len(known) > self.REMEMBER:
-                known.clear()
-            new = list({x for x in parts if x not in known})
-            for part, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[part] = np.array(code.ids, "<u4").tobytes()
-            return b"".join(map(known.__getitem__, parts))
+        parts = self.split(text.lower())
+        if new := set(parts).difference(self.known):
+            if len(self.known) > self.REMEMBER:
+                self.older, self.known, new = self.known, {}, set(parts)
+            self.learn(new)
+        return b"".join(map(self.known.__getitem__, parts))
+
+    def learn(self, parts: set[str]) -> None:
+        new = []
+        for part in parts:
+            if (code := self.older.get(part)) is not None:
+                self.known[part] = code
+            else:
+                new.append(part)
+        # one call for all: white space between pre-tokens is dropped, and each one's last id is marked
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4") if new else np.zeros(0, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(new):
+            self.known.update((x, self.whole(x)) for x in new)
+            return
+        data, begin = ids.tobytes(), 0
+        for part, stop in zip(new, (4 * stops).tolist(), strict=True):
+            self.known[part] = data[begin:stop]
+            begin = stop
 
 
 class Piece:
