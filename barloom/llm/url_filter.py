@@ -86,9 +86,9 @@ def filter_urls(spark: SparkSession, pages: DataFrame, listed: DataFrame, id_col
     word = F.element_at(words, (_block(F.col("canonical"), block_bits) + 1).cast("int"))
     open_case = F.col("best").isNull() & F.col("canonical").isNotNull()
     seen = seen.withColumn("possible", F.when(open_case, F.coalesce(word.bitwiseAND(bits) == bits, F.lit(False))).otherwise(False))
-    # only possible hits carry a key, so the others need no look-up
-    seen = seen.withColumn("key", F.when(F.col("possible"), F.col("canonical")))
-    hits = seen.where("possible").select(F.col("key").alias("url")).join(listed, "url", "left_semi").distinct().select(F.col("url").alias("key"), F.lit(True).alias("listed"))
+    # rows that need no look-up get keys that match nothing, all different: they spread over the tasks
+    seen = seen.withColumn("key", F.when(F.col("possible"), F.col("canonical")).otherwise(F.concat(F.lit("\0"), F.col(id_col).cast("string"))))
+    hits = seen.where("possible").select(F.col("canonical").alias("url")).join(listed, "url", "left_semi").distinct().select(F.col("url").alias("key"), F.lit(True).alias("listed"))
     is_listed = F.coalesce(F.col("listed"), F.lit(False))
     return seen.join(hits, "key", "left").select(
         id_col, "host", "path", F.col("best.rule").alias("rule"), F.coalesce(F.col("best.verdict"), F.when(is_listed, "block").otherwise("allow")).alias("verdict"), is_listed.alias("listed")
