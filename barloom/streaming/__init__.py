@@ -1 +1 @@
-"""See the package README."""
+"""Bars and features of streams, by bounded-history recomputation."""
