@@ -10,7 +10,9 @@ Two sets link when 100 * |A and B| >= percent * |A or B|. Then each shares at le
    to inverted lists. The boundary is the size up to which subsets cost less than lists, from counted sizes.
 3. Links. A list's sets are first compared with its least member only. Then components are formed, and members of
    one list that lie in different components are compared with each other. So a list of thousands of near copies
-   takes thousands of comparisons, not their square, and every component comes out exact.
+   takes thousands of comparisons, not their square, and every component comes out exact. Before full sets are
+   fetched, two exact bounds drop pairs inside the join: a shared shingle's ranks in both sets bound the overlap
+   from above, and so do the bits in which the parities of both sets' hashed shingles differ.
 
 Sets are compared by 64-bit shingle hashes. Equal sets are one class, represented by the smallest id.
 """
@@ -35,6 +37,10 @@ SHINGLE_WORDS, PERCENT = 5, 80
 GATHER = 16 << 20
 #: Largest size for which subsets are considered at all.
 MAX_LIGHT = 14
+#: 64-bit words of a set's parity bits.
+WORDS = 16
+#: Members of one component in one list beyond which they are not joined among themselves.
+CROWD = 512
 
 
 def common(n, percent: int):
@@ -132,6 +138,12 @@ def _shared(batch):
     return pd.DataFrame({"id": who, "times": times.astype(np.int64), "need": need[hit][first].astype(np.int64)})
 
 
+def _parity(s: np.ndarray) -> np.ndarray:
+    """Each shingle flips one of 64 * WORDS bits; sets differ in at least as many shingles as in bits."""
+    flips = np.bincount((s >> np.uint64(8)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(flips.astype(np.uint8)).view(np.int64)
+
+
 def _sets_of(size: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -142,7 +154,8 @@ def _sets_of(size: int):
                 sets = list(shingle_sets((r[1] for r in held), size))
                 offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["id", "s"])
+                bits = pa.array([_parity(x) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), bits], ["id", "s", "bits"])
 
     return run
 
@@ -196,7 +209,7 @@ def _sizes_fit(a, b, percent: int):
 
 
 def _posted(sets: DataFrame, percent: int) -> DataFrame:
-    """Inverted lists (key, rep, n): of each set the shingles that others have, rarest first, as many as it must post.
+    """Inverted lists (key, rep, n, at = rank in the set): of each set the shingles that others have, rarest first, as many as it must post.
 
     Shingles that no other set has come before all others in that order and need no list.
     """
@@ -205,7 +218,20 @@ def _posted(sets: DataFrame, percent: int) -> DataFrame:
     lists = tokens.join(known, "key").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held"))
     n_common = F.ceil(F.col("n") * percent / F.lit(100))
     room = (F.col("n") - n_common + 1) - (F.col("n") - F.size("held"))
-    return lists.withColumn("room", room.cast("int")).where("room > 0").select("rep", "n", F.explode(F.slice("held", F.lit(1), F.col("room"))).alias("x")).select(F.col("x.key").alias("key"), "rep", "n")
+    return lists.withColumn("room", room.cast("int")).where("room > 0").select("rep", "n", (F.col("n") - F.size("held")).alias("alone"), F.posexplode(F.slice("held", F.lit(1), F.col("room"))).alias("at", "x")).select(F.col("x.key").alias("key"), "rep", "n", (F.col("alone") + F.col("at")).alias("at"))
+
+
+def _meet(left: DataFrame, right: DataFrame, apart, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one list that may still link; the bounds are part of the join itself."""
+    a, b = left.alias("a"), right.alias("b")
+    n, m = F.col("a.n"), F.col("b.n")
+    # 100 * overlap >= percent * (n + m - overlap)
+    least = (percent * (n + m)) / F.lit(100.0 + percent) - 1e-9
+    by_rank = F.least(n - F.col("a.at"), m - F.col("b.at")) >= least
+    differ = sum((F.bit_count(F.col(f"a.w{k}").bitwiseXOR(F.col(f"b.w{k}"))) for k in range(WORDS)), start=F.lit(0))
+    by_bits = (n + m - differ) / F.lit(2.0) >= least
+    found = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _sizes_fit(n, m, percent) & by_rank & by_bits)
+    return found.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
 
 
 def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -232,9 +258,9 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     classes = meta.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = work.save(classes, "classes")
     reps = work.save(classes.join(alive.withColumnRenamed("id", "rep"), "rep", "left_semi").select(F.col("rep").alias("id")), "reps")
-    chosen = slim.join(maybe_broadcast(reps), "id", "left_semi").mapInArrow(_sets_of(size), "id long, s array<long>")
+    chosen = slim.join(maybe_broadcast(reps), "id", "left_semi").mapInArrow(_sets_of(size), "id long, s array<long>, bits array<long>")
     # a repeated id gives its set once
-    sets = work.save(chosen.dropDuplicates(["id"]).select(F.col("id").alias("rep"), F.size("s").cast("long").alias("n"), "s"), "sets")
+    sets = work.save(chosen.dropDuplicates(["id"]).select(F.col("id").alias("rep"), F.size("s").cast("long").alias("n"), "s", "bits"), "sets")
 
     counts = {r["n"]: r["count"] for r in sets.where(F.col("n") <= MAX_LIGHT).groupBy("n").count().collect()}
     lists = work.save(_posted(sets, percent), "posted")
@@ -242,7 +268,7 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     light = boundary(counts, percent, length)
     keys = lists.where(F.col("n") >= common(light + 1, percent))
     if light:
-        keys = keys.unionByName(sets.where(F.col("n") <= light).select("rep", "n", "s").mapInArrow(_light_keys(percent), "key long, rep long, n long"))
+        keys = keys.unionByName(sets.where(F.col("n") <= light).select("rep", "n", "s").mapInArrow(_light_keys(percent), "key long, rep long, n long").withColumn("at", F.lit(0).cast("long")))
     keys = work.save(keys, "keys")
 
     least = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -254,12 +280,19 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     # lists whose members are not yet in one component: compare across components
     in_lists = keys.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     open_keys = in_lists.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = work.save(in_lists.join(open_keys, "key", "left_semi"), "open")
-    present = rest.select("key", F.col("component").alias("c1")).distinct()
-    pairs = present.join(present.withColumnRenamed("c1", "c2"), "key").where("c1 < c2")
-    met = pairs.join(rest.select("key", F.col("component").alias("c1"), F.col("rep").alias("p"), F.col("n").alias("pn")), ["key", "c1"])
-    met = met.join(rest.select("key", F.col("component").alias("c2"), F.col("rep").alias("q"), F.col("n").alias("qn")), ["key", "c2"]).where(_sizes_fit(F.col("pn"), F.col("qn"), percent))
-    across = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    words = [F.col("bits")[k].alias(f"w{k}") for k in range(WORDS)]
+    rest = work.save(in_lists.join(open_keys, "key", "left_semi").join(sets.select("rep", *words), "rep"), "open")
+    crowds = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("here")).where(F.col("here") > CROWD).select("key", "component")
+    crowds = work.save(crowds, "crowds")
+    few = rest.join(crowds, ["key", "component"], "left_anti")
+    met = _meet(few, few, F.col("a.component") < F.col("b.component"), percent)
+    if not crowds.isEmpty():
+        many = work.save(rest.join(crowds, ["key", "component"], "left_semi"), "many")
+        several = crowds.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+        met = met.unionByName(_meet(few, many, F.lit(True), percent))
+        met = met.unionByName(_meet(many.join(several, "key", "left_semi"), many, F.col("a.component") < F.col("b.component"), percent))
+    met = met.distinct()
+    across = met.join(stars, ["a", "b"], "left_anti")
     links = work.save(links.unionByName(_verified(across, sets, percent)), "links")
     final = work.save(connected_components(work, links, "all"), "components")
 
