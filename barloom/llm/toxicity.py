@@ -212,7 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     held = dict(slim.select("text").mapInArrow(_holding(wanted), "term int, n long").groupBy("term").agg(F.sum("n")).collect()) if wanted else {}
     total = held.get(-1, 0)
     idf = np.log((1 + total) / (1 + np.array([held.get(i, 0) for i in range(len(wanted))], float))) + 1
-    rows = sorted(sample.select("id", "text").mapInArrow(_counted(wanted), T.StructType([slim.schema["id"], T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])).where(F.size("terms") > 0).collect()) if wanted else []
+    # examples without a term have no postings, but calibration must see them
+    rows = sorted(sample.select("id", "text").mapInArrow(_counted(wanted), T.StructType([slim.schema["id"], T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])).collect())
     vectors = [(r["terms"], r["counts"]) for r in rows]
     index = Neighbours.build(vectors, [toxic[r["id"]] for r in rows], idf, prior)
     index.calibrate(vectors, neighbours)
