@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Terms are words and word beginnings of four and five letters. A bounded sample of labelled documents gives the
-vocabulary (terms that go with the label, by chi-square) and the examples. How many documents hold a term, for IDF,
+vocabulary (terms that go with the label, by chi-square and frequency) and the examples. How many documents hold a term, for IDF,
 is counted over the whole corpus. The examples go to a block-max inverted index: postings by term, cut into blocks
 of example numbers, with each block's largest weight by term. A document's weights times these give every block's
 bound; blocks are scored in falling order of bound until none can reach the k-th best cosine, so the k nearest
@@ -24,6 +24,8 @@ from .common import rows_of
 
 #: Labelled documents learned from: those with the least hashed ids. Terms of the vocabulary. Neighbours that vote.
 EXAMPLES, TERMS, NEIGHBOURS = 12_000, 4096, 25
+#: Chi-square of a term, and how many times as often toxic examples must hold it as others.
+LEAST_CHI, LIFT = 20.0, 3.0
 #: Examples in a block. Weight of the prior in a vote. A term needs so many examples.
 BLOCK, PRIOR_WEIGHT, LEAST_EXAMPLES = 128, 0.25, 5
 THRESHOLD = 0.7
@@ -31,19 +33,44 @@ BEGINNINGS = (4, 5)
 _WORDS = re.compile(r"\w+").findall
 
 
-def term_counts(text: str | None, wanted=None) -> Counter:
-    """How often each term occurs in the whole text; ``wanted`` (a container) limits the terms."""
-    found: Counter = Counter()
-    for word, n in Counter(_WORDS((text or "").lower())).items():
-        if wanted is None or word in wanted:
-            found[word] += n
-        for size in BEGINNINGS:
-            if len(word) >= size and (wanted is None or (start := word[:size] + "*") in wanted):
-                found[word[:size] + "*" if wanted is None else start] += n
-    return found
+def terms_of(word: str) -> list[str]:
+    """The word and its beginnings; a star marks a beginning."""
+    return [word, *(word[:size] + "*" for size in BEGINNINGS if len(word) >= size)]
 
 
-def _counted(wanted: dict[str, int]):
+def word_counts(text: str | None) -> Counter:
+    return Counter(_WORDS((text or "").lower()))
+
+
+class Vocabulary(dict):
+    """Number of each term; counts those of a text."""
+
+    #: Words whose terms are remembered; then forgotten all at once.
+    REMEMBER = 500_000
+
+    def __init__(self, terms=()):
+        super().__init__((t, i) for i, t in enumerate(terms))
+        self.seen: dict[str, tuple[int, ...]] = {}
+
+    def __reduce__(self):
+        return Vocabulary, (list(self),)
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        """How often each term occurs in the whole text."""
+        found: dict[int, int] = {}
+        seen = self.seen
+        for word, n in word_counts(text).items():
+            numbers = seen.get(word)
+            if numbers is None:
+                if len(seen) > self.REMEMBER:
+                    seen.clear()
+                numbers = seen[word] = tuple(self[t] for t in terms_of(word) if t in self)
+            for k in numbers:
+                found[k] = found.get(k, 0) + n
+        return found
+
+
+def _counted(wanted: Vocabulary):
     """Sparse vectors of raw counts over the vocabulary."""
 
     def run(batches):
@@ -52,9 +79,9 @@ def _counted(wanted: dict[str, int]):
         for batch in batches:
             ids, terms, counts = [], [], []
             for key, text in rows_of(batch, "id", "text"):
-                found = term_counts(text, wanted)
+                found = wanted.counts(text)
                 ids.append(key)
-                terms.append([wanted[t] for t in found])
+                terms.append(list(found))
                 counts.append(list(found.values()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["id", "terms", "counts"])
 
@@ -62,29 +89,31 @@ def _counted(wanted: dict[str, int]):
 
 
 def _listed(batches):
-    """(term, toxic) once for each document that holds the term."""
+    """(term, toxic documents that hold it, others) of a task's share of the bounded sample."""
     import pyarrow as pa
 
+    held: tuple[Counter, Counter] = Counter(), Counter()
     for batch in batches:
         for toxic, text in rows_of(batch, "toxic", "text"):
-            found = list(term_counts(text))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([toxic] * len(found), pa.int32())], ["term", "toxic"])
+            held[toxic > 0].update({t for word in word_counts(text) for t in terms_of(word)})
+    terms = list(held[0] | held[1])
+    yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([held[1][t] for t in terms], pa.int64()), pa.array([held[0][t] for t in terms], pa.int64())], ["term", "a", "b"])
 
 
-def _holding(wanted: dict[str, int]):
-    """(term, documents that hold it) for the documents of a task."""
+def _holding(wanted: Vocabulary):
+    """(term, documents that hold it) for the documents of a task; -1 counts them all."""
 
     def run(batches):
         import pyarrow as pa
 
-        total, n = np.zeros(len(wanted), np.int64), 0
+        total, n = [0] * len(wanted), 0
         for batch in batches:
             for (text,) in rows_of(batch, "text"):
                 n += 1
-                for term in term_counts(text, wanted):
-                    total[wanted[term]] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *total[at].tolist()], pa.int64())], ["term", "n"])
+                for term in wanted.counts(text):
+                    total[term] += 1
+        at = [k for k, v in enumerate(total) if v]
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([n, *(total[k] for k in at)], pa.int64())], ["term", "n"])
 
     return run
 
@@ -93,11 +122,14 @@ def choose_terms(sample: DataFrame, positives: int, negatives: int, terms: int =
     """The terms of greatest chi-square with the label, those that LEAST_EXAMPLES examples hold at least."""
     if not positives or not negatives:
         return []
-    held = sample.mapInArrow(_listed, "term string, toxic int").groupBy("term").agg(F.sum("toxic").cast("double").alias("a"), F.sum(1 - F.col("toxic")).cast("double").alias("b"))
+    held = sample.mapInArrow(_listed, "term string, a long, b long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
     p, q = F.lit(float(positives)), F.lit(float(negatives))
     diff = F.col("a") * (q - F.col("b")) - F.col("b") * (p - F.col("a"))
     below = (F.col("a") + F.col("b")) * (p + q - F.col("a") - F.col("b")) * p * q
-    scored = held.where(F.col("a") + F.col("b") >= LEAST_EXAMPLES).withColumn("chi", F.try_divide(diff * diff * (p + q), below)).where("chi > 10.83")  # beyond chance at 0.001
+    scored = held.where(F.col("a") + F.col("b") >= LEAST_EXAMPLES).withColumn("chi", F.try_divide(diff * diff * (p + q), below))
+    # telling terms only: weak ones, as long texts hold, would drown them and make every document near every other
+    rate, other = (F.col("a") + 0.5) / (p + 1), (F.col("b") + 0.5) / (q + 1)
+    scored = scored.where((F.col("chi") > LEAST_CHI) & (rate > LIFT * other))
     return [r["term"] for r in scored.orderBy(F.desc("chi"), "term").limit(terms).collect()]
 
 
@@ -144,10 +176,10 @@ class Neighbours:
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or bound[b] < least - 1e-12:
                 break
-            score = np.zeros(BLOCK)
-            for w, x in zip(q, t, strict=True):
-                post = slice(self.first[x * blocks + b], self.first[x * blocks + b + 1])
-                score[self.examples[post] - b * BLOCK] += w * self.weights[post]
+            begin, end = self.first[t * blocks + b], self.first[t * blocks + b + 1]
+            spans = [(i, j) for i, j in zip(begin.tolist(), end.tolist(), strict=True) if i < j]
+            found = np.concatenate([self.examples[i:j] for i, j in spans])
+            score = np.bincount(found - b * BLOCK, np.repeat(q, end - begin) * np.concatenate([self.weights[i:j] for i, j in spans]), BLOCK)
             hit = np.flatnonzero(score > 0)
             hit = hit[hit + b * BLOCK != without]
             ids, cosines = np.concatenate([ids, hit + b * BLOCK]), np.concatenate([cosines, score[hit]])
@@ -186,9 +218,14 @@ def unit(terms: np.ndarray, counts, idf: np.ndarray) -> np.ndarray:
     return w / norm if norm else w
 
 
+def _leading(terms, counts, idf: np.ndarray) -> int:
+    """The term of greatest weight; vectors without one come last."""
+    return terms[int(np.argmax((1 + np.log(counts)) * idf[terms]))] if terms else len(idf)
+
+
 @dataclass
 class Model:
-    wanted: dict[str, int]
+    wanted: Vocabulary
     ids: list
     index: Neighbours
 
@@ -208,12 +245,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic = dict(picked)
     positives = sum(toxic.values())
     prior = (positives + 1) / (len(toxic) + 2)
-    wanted = {t: i for i, t in enumerate(choose_terms(sample.select("toxic", "text"), positives, len(toxic) - positives, terms))}
+    wanted = Vocabulary(choose_terms(sample.select("toxic", "text"), positives, len(toxic) - positives, terms))
     held = dict(slim.select("text").mapInArrow(_holding(wanted), "term int, n long").groupBy("term").agg(F.sum("n")).collect()) if wanted else {}
     total = held.get(-1, 0)
     idf = np.log((1 + total) / (1 + np.array([held.get(i, 0) for i in range(len(wanted))], float))) + 1
     # examples without a term have no postings, but calibration must see them
     rows = sorted(sample.select("id", "text").mapInArrow(_counted(wanted), T.StructType([slim.schema["id"], T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])).collect())
+    # examples led by the same term stand together, so that few blocks have large bounds for a document
+    rows = sorted(rows, key=lambda r: _leading(r["terms"], r["counts"], idf))
     vectors = [(r["terms"], r["counts"]) for r in rows]
     index = Neighbours.build(vectors, [toxic[r["id"]] for r in rows], idf, prior)
     index.calibrate(vectors, neighbours)
@@ -237,8 +276,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             scores, near = [], []
             for _, text in rows_of(batch, id_col, text_col):
-                found = term_counts(text, m.wanted)
-                ids, cosines = m.index.nearest([m.wanted[t] for t in found], list(found.values()), neighbours)
+                found = m.wanted.counts(text)
+                ids, cosines = m.index.nearest(list(found), list(found.values()), neighbours)
                 scores.append(m.index.score(m.index.vote(ids, cosines)))
                 near.append([m.ids[i] for i in ids[:evidence]])
             kind = batch.schema.field(0).type
@@ -258,8 +297,8 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", neighbours: int
         for batch in batches:
             stays = []
             for (text,) in rows_of(batch, text_col):
-                found = term_counts(text, m.wanted)
-                near = m.index.nearest([m.wanted[t] for t in found], list(found.values()), neighbours)
+                found = m.wanted.counts(text)
+                near = m.index.nearest(list(found), list(found.values()), neighbours)
                 stays.append(m.index.score(m.index.vote(*near)) < threshold)
             yield batch.filter(pa.array(stays, pa.bool_()))
 
