@@ -41,11 +41,19 @@ def place(feature: BoundFeature):
     return panels.daily, panels.DAILY, panels.DAILY_SQL, "daily"
 
 
+def shown(value, digits: int, scale: float = 1):
+    """value * scale to so many digits, for a column or for SQL text. A shift keeps amounts of few decimals off ties."""
+    shift = 0.0123456789 * 10.0**-digits
+    if isinstance(value, str):
+        return f"round({value} * {float(scale)!r} + {shift!r}, {digits}) + 0.0"
+    return F.round(value * float(scale) + shift, digits) + 0.0
+
+
 def rounded(feature: BoundFeature, value):
     digits, scale = DIGITS.get(feature.spec.name, (PRICES.get(feature.spec.name, 6), 1))
     if feature.spec.output_dtype.typeName() in ("byte", "boolean"):
         return value
-    return F.round(value * scale, digits) + 0.0 if not isinstance(value, str) else f"round({value} * {scale}, {digits}) + 0.0"
+    return shown(value, digits, scale)
 
 
 def feature_query(feature: BoundFeature) -> tuple[Query, str]:
@@ -66,14 +74,12 @@ def transform_query(transform: transforms.BoundTransform) -> tuple[Query, str]:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = evaluate(panels.weekly(spark, sf_dir), {name: node}, "symbol", "timestamp")
-        return made.select(*key_columns(), (F.round(name, 4) + 0.0).alias(name))
+        return made.select(*key_columns(), shown(F.col(name), 4).alias(name))
 
-    steps, final = sqltext.evaluate("weekly", {name: node}, "symbol", "timestamp", f"{SQL_KEYS}, round({{{name}}}, 4) + 0.0 AS {name}")
+    steps, final = sqltext.evaluate("weekly", {name: node}, "symbol", "timestamp", f"{SQL_KEYS}, {shown('{' + name + '}', 4)} AS {name}")
     return run, f"WITH {panels.WEEKLY_SQL}, {steps} {final}"
 
 
-#: Exact ties of two-decimal prices over integer sizes round apart; more digits keep them away from ties.
-DECIMALS = {"vwap": 9}
 KNOBS = {"time": ("interval", "1h", "1 hour"), "tick": ("n_ticks", 10, 10), "volume": ("threshold", 500.0, 500.0), "dollar": ("threshold", 20000.0, 20000.0)}
 
 
@@ -83,9 +89,9 @@ def bars_query(kind: str, rule: str) -> tuple[Query, str]:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         made = B.build_bars(panels.ticks(spark, sf_dir), B.BarSpec(kind, sign_rule=rule, **{knob: value}))
-        return made.select(*key_columns(), *[(F.round(c, DECIMALS.get(c, 4)) + 0.0).alias(c) for c in numbers], "trade_count", "closed")
+        return made.select(*key_columns(), *[shown(F.col(c), 5).alias(c) for c in numbers], "trade_count", "closed")
 
-    return run, f"WITH {panels.TICKS_SQL}, {panels.bars_sql(kind, text, rule)} SELECT {SQL_KEYS}, {', '.join(f'round({c}, {DECIMALS.get(c, 4)}) + 0.0 AS {c}' for c in numbers)}, trade_count, closed FROM bars"
+    return run, f"WITH {panels.TICKS_SQL}, {panels.bars_sql(kind, text, rule)} SELECT {SQL_KEYS}, {', '.join(f'{shown(c, 5)} AS {c}' for c in numbers)}, trade_count, closed FROM bars"
 
 
 def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
