@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -35,13 +34,15 @@ class Scratch:
     """Written tables that cut lineage; a lost executor re-reads them instead of recomputing.
 
     ``save`` writes Parquet under the shared folder. ``drop`` deletes tables that no later plan reads;
-    what is left goes when the driver exits.
+    what is left goes when the driver's JVM exits.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-        atexit.register(self._remove, self.root)
+        files, root = self._files(self.root)
+        files.mkdirs(root)
+        files.deleteOnExit(root)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -53,11 +54,14 @@ class Scratch:
             self._remove(f"{self.root}/{name}")
 
     def _remove(self, path: str) -> None:
+        files, target = self._files(path)
+        files.delete(target, True)
+
+    def _files(self, path: str):
+        """The path's file system and the path, as Hadoop has them."""
         context = self.spark.sparkContext
-        if context._jsc is None:
-            return
         target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        return target.getFileSystem(context._jsc.hadoopConfiguration()), target
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
