@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import families, roles, transforms
+from .functions.registry import Registry, daily_core, drop_warmup, max_min_history
 from .functions.schema import BarSchema
 from .functions.spec import BoundFeature, Family, ValidationMode
 from .operators import bars as B
 from .operators.compute import compute
-from .operators.validate import incomplete_static, missing_members
+from .operators.validate import audit_frame, incomplete_static, missing_members
 from .plans import ir, sqltext
 from .plans.spark import evaluate
 from .sources import panels
@@ -141,10 +142,45 @@ QUOTES_ASOF_SQL = f"""WITH {panels.TICKS_SQL} SELECT t.seq, t.symbol, round(q.bi
 FROM (SELECT * FROM ticks WHERE seq % 3 <> 0) t ASOF LEFT JOIN (SELECT * FROM ticks WHERE seq % 3 = 0) q ON t.symbol = q.symbol AND t.timestamp >= q.timestamp"""
 
 
+def signed_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each trade's sign by the Lee-Ready rule."""
+    return B.sign_ticks(panels.ticks(spark, sf_dir), B.BarSpec("tick", n_ticks=1, sign_rule="lee_ready")).select("seq", F.col("trade_sign").cast("int").alias("trade_sign"))
+
+
+SIGNED_TICKS_SQL = f"WITH {panels.TICKS_SQL}, {panels.bars_sql('tick', 1, 'lee_ready')} SELECT seq, CAST(s AS INTEGER) AS trade_sign FROM signed"
+
+
+def past_warmup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars without the rows that a bundle's longest history takes."""
+    return drop_warmup(panels.daily(spark, sf_dir), daily_core(), panels.DAILY).select(*key_columns(), shown(F.col("close"), 4).alias("close"))
+
+
+PAST_WARMUP_SQL = f"""WITH {panels.DAILY_SQL}, numbered AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp) AS n FROM daily)
+SELECT {SQL_KEYS}, {shown('close', 4)} AS close FROM numbered WHERE n > {max_min_history(daily_core())}"""
+
+
+def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of the closed hourly bars."""
+    told = audit_frame(panels.intraday(spark, sf_dir), schema=panels.INTRADAY)
+    row = (told.rows, told.symbols, told.ohlc_violations, told.duplicate_keys, told.non_final_bars, float(round(told.completeness, 9)))
+    return spark.createDataFrame([row], "n_rows long, symbols long, ohlc_violations long, duplicate_keys long, non_final_bars long, completeness double")
+
+
+AUDIT_SQL = f"""WITH {panels.INTRADAY_SQL}
+SELECT count(*) AS n_rows, count(DISTINCT symbol) AS symbols, count(*) FILTER (low > least(open, close) OR high < greatest(open, close)) AS ohlc_violations,
+  count(*) - count(DISTINCT (symbol, timestamp)) AS duplicate_keys, count(*) FILTER (NOT closed) AS non_final_bars, round(count(DISTINCT (symbol, timestamp)) / (count(DISTINCT symbol) * count(DISTINCT timestamp)), 9) AS completeness
+FROM intraday"""
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry as a table."""
+    return Registry.default().frame(spark)
+
+
 def _all() -> dict[str, tuple[Query, str]]:
     found = {f"feature_{f.spec.name}": feature_query(f) for f in [*families.default_features(), families.book_imbalance()]}
-    shown = (transforms.zscore(21), transforms.xs_zscore(), transforms.xs_rank(), transforms.frac_diff(0.4))
-    found |= {f"transform_{t.spec.name}": transform_query(t) for t in shown}
+    four = (transforms.zscore(21), transforms.xs_zscore(), transforms.xs_rank(), transforms.frac_diff(0.4))
+    found |= {f"transform_{t.spec.name}": transform_query(t) for t in four}
     found["transform_xs_zscore_winsorized"] = transform_query(transforms.xs_zscore(1.0))
     found |= {f"bars_{kind}_{rule}": bars_query(kind, rule) for kind in KNOBS for rule in panels.SIGN_SQL}
     return found | {
@@ -152,11 +188,14 @@ def _all() -> dict[str, tuple[Query, str]]:
         "panel_gaps": (panel_gaps, PANEL_GAPS_SQL),
         "membership_gaps": (membership_gaps, MEMBERSHIP_GAPS_SQL),
         "quotes_asof": (quotes_asof, QUOTES_ASOF_SQL),
+        "signed_ticks": (signed_ticks, SIGNED_TICKS_SQL),
+        "past_warmup": (past_warmup, PAST_WARMUP_SQL),
+        "audit": (audit, AUDIT_SQL),
     }
 
 
 def queries() -> dict[str, Query]:
-    return {name: run for name, (run, _) in _all().items()}
+    return {name: run for name, (run, _) in _all().items()} | {"catalogue": catalogue}
 
 
 def oracle_sql() -> dict[str, str]:
