@@ -34,7 +34,7 @@ from .shingles import shingle_sets
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Text characters whose blobs are built at once.
-GATHER = 16 << 20
+GATHER = 8 << 20
 #: Largest size for which subsets are considered at all.
 MAX_LIGHT = 14
 #: 64-bit words of a set's parity bits.

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes of text hashed at once; the arrays take some thirty times that.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
