@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, rows_of, small_enough
+from .common import Scratch, rows_of
 
 #: A repeated run of lines is deleted when it has so many words.
 WORDS = 50
@@ -99,7 +99,6 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     work = Scratch(spark, "line-dedup")
     slim = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     later = repeated_runs(spark, work, slim, words)
-    later = work.save(later, "later")
     # bounded by the lines of one document
     cuts = work.save(later.groupBy("doc").agg(F.collect_list(F.struct("i", "m")).alias("cuts")), "cuts")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(text_col, T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.IntegerType()))])
@@ -123,5 +122,5 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
                 gone.append(sorted(drop))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], schema.names)
 
-    side = F.broadcast(cuts) if small_enough(later) else cuts  # by the number of runs in all
-    return slim.join(side, "doc", "left").select("doc", "text", "cuts").mapInArrow(cut, schema)
+    # always dealt out by document, never broadcast: deletions grow with the corpus, and so the plan is one at every size
+    return slim.join(cuts.hint("shuffle_hash"), "doc", "left").select("doc", "text", "cuts").mapInArrow(cut, schema)
