@@ -45,7 +45,7 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the
     largest id stays (``keep="smallest"``: the smallest). Rows that repeat an id repeat their result; group_size
-    counts rows. An empty table gives an empty result; other columns are not read.
+    counts rows. A row without an id stays only where its text has no row with one. An empty table gives an empty result; other columns are not read.
     """
     if keep not in ("largest", "smallest"):
         raise ValueError(f"keep is {keep!r}, not 'largest' or 'smallest'")
@@ -59,4 +59,4 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         left -= fan_bits
     root = level.select(*KEY, F.col("size").alias("group_size"), F.col("high" if keep == "largest" else "low").alias("keep_id"))
     down = first.select("run", *KEY).join(root, KEY)
-    return each.join(down, ["run", *KEY]).select(id_col, "keep_id", F.col("group_size").cast("long"), (F.col(id_col) == F.col("keep_id")).alias("kept"), "text_sha256")
+    return each.join(down, ["run", *KEY]).select(id_col, "keep_id", F.col("group_size").cast("long"), F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -240,12 +240,12 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     links counts, for the class, the verified links to other classes that were needed to form components; equal
     texts are linked by set_id. Null, empty and blank texts have n_shingles 0 and link with nothing: their set_id
     and component_id are their own id. Repeated rows repeat their result; an empty table gives an empty one; other
-    columns are not read. Ids are integers.
+    columns are not read. Ids are integers; rows without an id are left out.
     """
     work = Scratch(spark, "jaccard-join")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bucket_bits = max(5, (2 * parts - 1).bit_length())
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
     gathered = work.save(slim.mapInArrow(_gather(bucket_bits, size, percent), META), "gathered")
     meta = gathered.where("kind = 0").select("id", "n", "d1", "d2")

@@ -21,6 +21,9 @@ def test_exact_dedup(spark):
         groups.setdefault((t or "").translate(UP), []).append(i)
     expected = sorted((i, max(groups[norm[i]]), len(groups[norm[i]]), i == max(groups[norm[i]]), hashlib.sha256(norm[i].encode()).hexdigest()) for i, _, _ in rows)
     assert found == expected
+    nameless = spark.createDataFrame([(None, "ABC", 0), (None, "new", 0)], "doc_id long, text string, kept int")
+    stays = exact_dedup.dedup_exact(spark, docs.unionByName(nameless)).where("doc_id is null").select("keep_id", "kept").collect()
+    assert sorted(map(tuple, stays), key=str) == [(2, False), (None, True)]
     smallest = exact_dedup.dedup_exact(spark, docs, keep="smallest").where("kept").select("doc_id").distinct()
     assert {r[0] for r in smallest.collect()} == {min(g) for g in groups.values()}
     assert exact_dedup.dedup_exact(spark, docs.limit(0)).count() == 0
@@ -116,8 +119,9 @@ def test_jaccard_join_equals_brute_force(spark, seed, monkeypatch):
     rows = [(i, t, i) for i, t in texts.items()]
     rnd.shuffle(rows)
     rows.append(rows[0])  # a repeated row
+    nameless = spark.createDataFrame([(None, texts[0], 1)], "doc_id long, text string, n long")
     docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
-    found = jaccard_join.link_components(spark, docs).collect()
+    found = jaccard_join.link_components(spark, docs.unionByName(nameless)).collect()
     assert len(found) == len(rows)
     sets = plain_sets(texts)
     expected = plain_components(sets)
