@@ -22,11 +22,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays."""
+    """Of equal texts one document stays; of repeated rows one. Rows without an id are not told apart and stay."""
     work = Scratch(spark, "stage-exact")
     found = work.save(exact_dedup.dedup_exact(spark, docs).groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "found")
     stays = without(docs, found.where("not kept"))
-    return stays if found.where("n > 1").isEmpty() else stays.dropDuplicates(["doc_id"])
+    return stays if found.where("n > 1").isEmpty() else stays.dropDuplicates(["doc_id", "text"])
 
 
 def ngram_jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
