@@ -16,7 +16,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import rows_of
+from .common import rows_of, text_batches
 
 #: Short notices and opening clauses of public licences, by SPDX identifier.
 TEMPLATES = (
@@ -170,6 +170,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null or empty text has none. Shuffles nothing; reads two columns of each row; repeated rows repeat their
     result. A text is searched whole; only candidate blocks are compressed.
     """
+    text_batches(docs.sparkSession)
     import pyarrow as pa
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("licenses", FOUND)])

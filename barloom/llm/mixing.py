@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunks_of, rows_of
+from .common import Scratch, chunks_of, rows_of, text_batches
 from .shingles import word_hashes
 
 #: Part of all tokens that the sample is to hold.
@@ -43,6 +43,7 @@ def profiles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> np.ndarray:
     """Centres of spherical k-means, farthest-first start, on a bounded sample; executors make the profiles."""
+    text_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -74,6 +75,7 @@ def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def describe(docs: DataFrame, centres: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """(id, kept columns, tokens, topic): tokens are words; a text without words is of topic t0."""
+    text_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import rows_of
+from .common import rows_of, text_batches
 
 WINDOW = 4096
 END_ID = 2
@@ -207,6 +207,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     an empty result, and other columns are not read. Sequences belong to one partition: its number fills the upper
     bits of sequence_id. Within a task memory is bounded by max_open windows and one text.
     """
+    text_batches(docs.sparkSession)
     import pyarrow as pa
 
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), *PIECES.fields]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .automaton import compile_rules, parse, reverse
-from .common import rows_of
+from .common import rows_of, text_batches
 
 
 @dataclass(frozen=True)
@@ -143,6 +143,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Reads two columns and shuffles nothing. Repeated ids give repeated rows, an empty table an empty one, and
     other columns, whatever their names, are not read. Memory: one text at a time.
     """
+    text_batches(docs.sparkSession)
     import pyarrow as pa
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("spans", SPANS)])
@@ -160,6 +161,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = DEFAULT_RULES) -> DataFrame:
     """docs (id, text) with each secret replaced by [kind]; of overlapping spans the earlier one counts."""
+    text_batches(docs.sparkSession)
     import pyarrow as pa
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(text_col, T.StringType())])

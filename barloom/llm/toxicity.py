@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of
+from .common import rows_of, text_batches
 
 #: Labelled documents learned from: those with the least hashed ids. Terms of the vocabulary. Neighbours that vote.
 EXAMPLES, TERMS, NEIGHBOURS = 12_000, 4096, 25
@@ -46,7 +46,7 @@ class Vocabulary(dict):
     """Number of each term; counts those of a text."""
 
     #: Words whose terms are remembered; then forgotten all at once.
-    REMEMBER = 500_000
+    REMEMBER = 100_000
 
     def __init__(self, terms=()):
         super().__init__((t, i) for i, t in enumerate(terms))
@@ -236,6 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     The driver gets at most ``examples`` sparse vectors and ``terms`` counts. Null labels are left out; of an id
     with several labels the largest counts. Without labels of both kinds every score is the prior.
     """
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     picked = known.orderBy(F.xxhash64("id"), "id").limit(examples).collect()
@@ -265,6 +266,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     A null or empty text holds no term and scores what texts without evidence do. Shuffles nothing; the model,
     bounded by its parameters, travels with the tasks. Repeated rows repeat their result; other columns are not read.
     """
+    text_batches(docs.sparkSession)
     import pyarrow as pa
 
     id_type = docs.schema[id_col].dataType
@@ -288,6 +290,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, whose score is below the threshold; nothing is joined or shuffled."""
+    text_batches(docs.sparkSession)
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
