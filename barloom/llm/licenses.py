@@ -1,14 +1,16 @@
 """License scans by conditional compression.
 
-Lines with licensing words, and what stands between close ones, are candidate blocks. A block is compressed by itself and
-with each template as zstandard raw dictionary; templates are ranked by how much of the block's compressed size they
-save. The best are confirmed by their exact wording differences: a template's words are aligned with the block's, and
-no word that tells licences apart (names, numbers, conditions) may be missing or changed.
+Where a text holds a licensing word, a window is taken for each template and each of its own licensing words, as many
+telling words as the template has, on whichever lines. It is compressed by itself and with the template as zstandard
+raw dictionary; what that saves is measured against the template's own compressed size, so neither prose nor other
+notices nearby weaken it. Every template above the threshold is confirmed by its exact wording differences: no word that
+tells licences apart (names, numbers, conditions) may be missing, changed or added; other words may.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -39,16 +41,16 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-#: A line that holds one of these, in either case, may speak of a licence.
+#: A text that holds one of these, in either case, may speak of a licence there.
 TRIGGERS = ("licen", "copyright", "spdx", "redistribut", "permission is", "permission to use", "public domain", "free software")
 #: Words that may be missing or changed without making it another licence.
 COMMON = frozenset("a all and any are as at be by can code do following for form forms free from hereby in is it library of on or or/and program software source such that the this to use used with work you your".split())
-#: Trigger lines with at most so many lines between make one block. Words kept around a trigger in long lines.
-GAP, AROUND = 3, 80
-#: Templates confirmed for a block, least part of its size saved, and least part of a template's words found.
-CONFIRM, LEAST_SAVED, LEAST_FOUND = 4, 0.15, 0.85
+#: Least part of a template's own compressed size that it saves of a window, and least part of its words found.
+LEAST_SAVED, LEAST_FOUND = 0.15, 0.85
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-][A-Za-z0-9]+)*")
-_TRIGGER = re.compile("|".join(map(re.escape, TRIGGERS)), re.IGNORECASE)
+#: the words of one trigger may stand on two lines
+_TRIGGER = re.compile("|".join("[^A-Za-z0-9]+".join(map(re.escape, t.split())) for t in TRIGGERS), re.IGNORECASE)
+_JOINED = re.compile(r"[A-Za-z0-9.\-]")
 
 
 @dataclass(frozen=True)
@@ -65,100 +67,127 @@ class Detector:
         import zstandard
 
         self.templates = [(name, [w.lower() for w in _WORD.findall(text)]) for name, text in templates]
+        self.telling = [[w for w in words if w not in COMMON] for _, words in self.templates]
+        self.gaps = [_gaps(words) for _, words in self.templates]
+        self.places = [_places(words) for _, words in self.templates]
+        self.reach = 1 + max(map(len, self.telling), default=0)
         self.plain = zstandard.ZstdCompressor(level=6, write_content_size=False)
         self.given = [zstandard.ZstdCompressor(level=6, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(words).encode() + b" ", dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, words in self.templates]
-        #: blocks repeat across documents; what one shows is the same for all
-        self.seen = lru_cache(maxsize=20_000)(self._licenses)
+        self.own = [len(self.plain.compress((" ".join(words) + " ").encode())) for _, words in self.templates]
+        #: windows repeat in a text and across documents; what one saves is the same for all
+        self.saved = lru_cache(maxsize=20_000)(self._saved)
 
     def find(self, text: str | None) -> list[Found]:
         """Licences of a text, by place."""
-        if not text or not _TRIGGER.search(text):
-            return []
-        found = [Found(x.license, start + x.start, start + x.end, x.saved, x.differences) for start, end in blocks(text) for x in self.seen(text[start:end])]
+        found = [x for start, end, places in self.regions(text or "") for x in self._licenses(text, start, end, places)]
         return sorted(found, key=lambda x: (x.start, x.end, x.license))
 
-    def ranked(self, words: list[str]) -> list[tuple[float, int]]:
-        """(part of the block's compressed size that the template saves, its number), best first."""
-        data = (" ".join(words) + " ").encode()
-        alone = len(self.plain.compress(data))
-        saved = [(1 - len(c.compress(data)) / alone, k) for k, c in enumerate(self.given)]
-        return sorted((x for x in saved if x[0] >= LEAST_SAVED), key=lambda x: (-x[0], x[1]))
-
-    def _licenses(self, block: str) -> tuple[Found, ...]:
-        """All notices of a block: the best confirmed one, then what stands before and after it."""
-        words = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(block)]
-        todo, found = [words], []
-        while todo:
-            part = todo.pop()
-            hit = self._best(part) if len(part) > 1 else None
-            if hit:
-                one, first, last = hit
-                found.append(one)
-                todo += [part[:first], part[last:]]
-        return tuple(found)
-
-    def _best(self, words: list[tuple[str, int, int]]):
-        if not any(_TRIGGER.search(w[0]) for w in words) and not _TRIGGER.search(" ".join(w[0] for w in words)):
-            return None
-        plain = [w[0] for w in words]
-        best = None
-        for saved, k in self.ranked(plain)[:CONFIRM]:
-            match = self.aligned(self.templates[k][1], plain)
-            if match and (best is None or match[2] > best[0]):
-                best = (match[2], saved, k, match)
-        if best is None:
-            return None
-        _, saved, k, (first, last, _, differences) = best
-        return Found(self.templates[k][0], words[first][1], words[last - 1][2], round(saved, 4), differences), first, last
-
-    @staticmethod
-    def aligned(template: list[str], words: list[str]):
-        """(first, last, words found, differences) of the template in the block; None where a telling word differs."""
-        runs = [r for r in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if r.size]
-        found = sum(r.size for r in runs)
-        if not runs or found < LEAST_FOUND * len(template):
-            return None
-        first, last = runs[0].b, runs[-1].b + runs[-1].size
-        differences, at, place = [], 0, first
-        for r in [*runs, None]:
-            upto, then = (r.a, r.b) if r else (len(template), last)
-            missing, extra = template[at:upto], words[place:then]
-            if any(w not in COMMON for w in missing) or any(w not in COMMON for w in extra):
-                return None
-            differences += [f"-{w}" for w in missing] + [f"+{w}" for w in extra]
-            if r:
-                at, place = r.a + r.size, r.b + r.size
-        return first, last, found, tuple(differences)
-
-
-def blocks(text: str) -> list[tuple[int, int]]:
-    """(start, end) of candidate blocks, whole lines but for long ones; they do not overlap."""
-    lines, at = [], 0
-    for line in text.split("\n"):
-        if _TRIGGER.search(line):
-            lines.append((len(lines), at, at + len(line)))
-        at += len(line) + 1
-    spans: list[list[int]] = []
-    for _, start, end in lines:
-        if end - start > 4000:  # cut to the words around each trigger
-            near = [_around(text, start + m.start(), start, end) for m in _TRIGGER.finditer(text[start:end])]
-        else:
-            near = [(start, end)]
-        for a, b in near:
-            if spans and (a <= spans[-1][1] or text.count("\n", spans[-1][1], a) <= GAP + 1):
-                spans[-1][1] = max(b, spans[-1][1])
+    def regions(self, text: str) -> list[tuple[int, int, list[int]]]:
+        """(start, end, places of triggers): whole words within reach of triggers; they do not overlap."""
+        spans: list[tuple[int, int, list[int]]] = []
+        for m in _TRIGGER.finditer(text):
+            start, end = self._before(text, m.start()), self._after(text, m.start())
+            if spans and start <= spans[-1][1]:
+                last = spans.pop()
+                spans.append((min(start, last[0]), max(end, last[1]), last[2]))
             else:
-                spans.append([a, b])
-    return [tuple(s) for s in spans]
-
-
-def _around(text: str, at: int, start: int, end: int) -> tuple[int, int]:
-    a, b = max(start, at - 8 * AROUND), min(end, at + 8 * AROUND)
-    while a > start and not text[a - 1].isspace():
-        a -= 1
-    while b < end and not text[b].isspace():
-        b += 1
-    return a, b
+                spans.append((start, end, []))
+            spans[-1][2].append(m.start())
+        return spans
+
+    def _before(self, text: str, at: int) -> int:
+        """Where a stretch begins that holds as many telling words before ``at`` as any window needs."""
+        size = 1024
+        while True:
+            start = max(0, at - size)
+            while start and _JOINED.match(text[start - 1]):
+                start -= 1
+            if not start or sum(w.lower() not in COMMON for w in _WORD.findall(text, start, at)) > self.reach:
+                return start
+            size *= 2
+
+    def _after(self, text: str, at: int) -> int:
+        left = self.reach + 1
+        for m in _WORD.finditer(text, at):
+            left -= m[0].lower() not in COMMON
+            if left < 0:
+                return m.end()
+        return len(text)
+
+    def _saved(self, k: int, window: str) -> float:
+        """The part of a template's own compressed size that it saves of the window."""
+        data = window.encode()
+        return (len(self.plain.compress(data)) - len(self.given[k].compress(data))) / self.own[k]
+
+    def _licenses(self, text: str, start: int, end: int, places: list[int]) -> list[Found]:
+        """All notices of a region: of those that share words the one with most words found."""
+        words = [(m[0].lower(), m.start(), m.end()) for m in _WORD.finditer(text, start, end)]
+        begins = [w[1] for w in words]
+        telling = [i for i, w in enumerate(words) if w[0] not in COMMON]
+        plain, names = [w[0] for w in words], [words[i][0] for i in telling]
+        numbers = {bisect_left(telling, bisect_right(begins, at) - 1) for at in places}
+        hits: dict[tuple[int, int, int], tuple] = {}
+        for k, wanted in enumerate(self.telling):
+            for j in sorted({n - x for n in numbers for x in self.places[k] if 0 <= n - x <= len(telling) - len(wanted)}):
+                upto = j + len(wanted)
+                window = plain[telling[j - 1] + 1 if j else 0 : telling[upto] if upto < len(telling) else len(plain)]
+                saved = self.saved(k, " ".join(window) + " ")
+                match = self.aligned(k, plain, telling, j) if saved >= LEAST_SAVED and names[j:upto] == wanted else None
+                if match:
+                    hits[k, *match[:2]] = (saved, *match[2:])
+        found, taken = [], []
+        for (k, first, last), (saved, _, differences) in sorted(hits.items(), key=lambda x: (-x[1][1], -x[1][0], x[0])):
+            if all(last <= a or b <= first for a, b in taken):
+                taken.append((first, last))
+                found.append(Found(self.templates[k][0], words[first][1], words[last - 1][2], round(saved, 4), differences))
+        return found
+
+    def aligned(self, k: int, words: list[str], telling: list[int], j: int):
+        """(first, last, words found, differences) of a template whose telling words are those from the j-th on; None if too few of its other words are there."""
+        upto = j + len(self.telling[k])
+        marks = [telling[j - 1] if j else -1, *telling[j:upto], telling[upto] if upto < len(telling) else len(words)]
+        first, last, found, differences = marks[1], marks[-2] + 1, upto - j, []
+        for g, (gap, a, b) in enumerate(zip(self.gaps[k], marks, marks[1:], strict=False)):
+            there = words[a + 1 : b]
+            if g == 0:  # from the first telling word backwards
+                runs = [(len(gap) - r.a - r.size, len(there) - r.b - r.size, r.size) for r in _same(gap[::-1], there[::-1])][::-1]
+                skip = runs[0][1] if runs else len(there)
+                first, there, runs = first - (len(there) - skip), there[skip:], [(x, y - skip, n) for x, y, n in runs]
+            else:
+                runs = [(r.a, r.b, r.size) for r in _same(gap, there)]
+                if g == len(self.gaps[k]) - 1:
+                    there = there[: runs[-1][1] + runs[-1][2]] if runs else []
+                    last += len(there)
+            x, y = 0, 0
+            for p, q, n in [*runs, (len(gap), len(there), 0)]:
+                differences += [f"-{w}" for w in gap[x:p]] + [f"+{w}" for w in there[y:q]]
+                x, y, found = p + n, q + n, found + n
+        return (first, last, found, tuple(differences)) if found >= LEAST_FOUND * len(self.templates[k][1]) else None
+
+
+def _places(words: list[str]) -> list[int]:
+    """Which of a template's telling words begin a trigger; without any, all."""
+    starts = [0]
+    for w in words:
+        starts.append(starts[-1] + len(w) + 1)
+    begin = {bisect_right(starts, m.start()) - 1 for m in _TRIGGER.finditer(" ".join(words))}
+    telling = [i for i, w in enumerate(words) if w not in COMMON]
+    return [x for x, i in enumerate(telling) if i in begin] or list(range(len(telling)))
+
+
+def _same(a: list[str], b: list[str]):
+    return [r for r in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if r.size]
+
+
+def _gaps(words: list[str]) -> list[list[str]]:
+    """The common words before each telling word, and after the last."""
+    gaps: list[list[str]] = [[]]
+    for w in words:
+        if w in COMMON:
+            gaps[-1].append(w)
+        else:
+            gaps.append([])
+    return gaps
 
 
 FOUND = T.ArrayType(T.StructType([T.StructField("license", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("saved", T.DoubleType()), T.StructField("differences", T.ArrayType(T.StringType()))]))
@@ -168,7 +197,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row (id, licenses) for each row of docs: license, start, end, saved, differences, by place.
 
     A null or empty text has none. Shuffles nothing; reads two columns of each row; repeated rows repeat their
-    result. A text is searched whole; only candidate blocks are compressed.
+    result. A text is searched whole; only windows around licensing words are compressed.
     """
     text_batches(docs.sparkSession)
     import pyarrow as pa
