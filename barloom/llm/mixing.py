@@ -7,7 +7,7 @@ sampled with the calibrated probability of their cell, by a hash of their id, so
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,11 +94,12 @@ def describe(docs: DataFrame, centres: np.ndarray, id_col: str = "doc_id", text_
 
 
 def targets_of(shares: Mapping[str, float], wanted: Mapping[str, float] | float) -> dict[str, float]:
-    """Target share of each value: given ones, and for the rest what they have; or all shares to a power (0: equal)."""
+    """Target share of each value: given ones, and for the rest what they have; or all shares to a power (0: equal). Values without tokens get none."""
     if isinstance(wanted, Mapping):
-        raw = {v: float(wanted.get(v, s)) for v, s in shares.items()}
+        given = {str(v): float(x) for v, x in wanted.items()}
+        raw = {v: given.get(v, s) if s > 0 else 0.0 for v, s in shares.items()}
     else:
-        raw = {v: s**wanted for v, s in shares.items()}
+        raw = {v: s**wanted if s > 0 else 0.0 for v, s in shares.items()}
     total = sum(raw.values())
     return {v: x / total for v, x in raw.items()} if total else raw
 
@@ -118,10 +119,11 @@ def rake(cells: np.ndarray, margins: list[np.ndarray], targets: list[np.ndarray]
     return fitted
 
 
-def rake_frames(work: Scratch, cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], budget: float, rounds: int = 20) -> DataFrame:
+def rake_frames(work: Scratch, cells: DataFrame, dims: list[str], targets: dict[str, DataFrame], budget: float) -> DataFrame:
     """As ``rake``, for more cells than the driver should hold: cells (dims, natural) gain ``fitted``."""
     now = cells.withColumn("fitted", F.col("natural"))
-    for k in range(rounds):
+    for k in range(ROUNDS):
+        now = now.withColumn("before", F.col("fitted"))
         for d in dims:
             margin = now.groupBy(d).agg(F.sum("fitted").alias("m")).join(targets[d], d)
             factor = F.coalesce(F.try_divide(F.col("target"), F.col("m")), F.lit(1.0))
@@ -129,6 +131,10 @@ def rake_frames(work: Scratch, cells: DataFrame, dims: list[str], targets: dict[
         now = work.save(now, f"raked-{k}")
         if k:
             work.drop(f"raked-{k - 1}")
+        moved = now.agg(F.max(F.abs(F.col("fitted") - F.col("before")))).first()[0]
+        now = now.drop("before")
+        if moved < CLOSE:
+            break
     return now
 
 
@@ -141,8 +147,8 @@ def mix(spark: SparkSession, described: DataFrame, targets: Mapping[str, Mapping
     """``described`` (id, tokens, a column for each dimension of ``targets``) with weight, probability and kept.
 
     Null values of a dimension are one value of their own. The probability is at most 1; a cell that would need
-    more is taken whole, and the others of its margins make up for it as far as they can. Documents without tokens
-    follow their cell; a cell without tokens keeps the budget's share. An empty table gives an empty result.
+    more is taken whole, and the others make up for it as far as they can; more than ``local_cells`` cells are raked
+    as DataFrames, by the same rule to the same result. Documents without tokens follow their cell; a cell without tokens keeps the budget's share. An empty table gives an empty result.
     """
     work = Scratch(spark, "mixing")
     dims = list(targets)
@@ -166,8 +172,8 @@ def mix(spark: SparkSession, described: DataFrame, targets: Mapping[str, Mapping
             wanted.append(np.array([goal[v] if s > 0 else 0.0 for v, s in zip(values, share, strict=True)]))
         fitted = rake(n, margins, wanted, budget)
         weight = np.divide(fitted, n / total, out=np.ones_like(n), where=n > 0)
-        scale = _scale(n, weight, budget)
-        told = [(*(r[k] for k in keys), float(w), float(min(1.0, scale * w))) for r, w in zip(held, weight, strict=True)]
+        scale = _scale(lambda x: (n[x * weight >= 1].sum(), (n * weight)[x * weight < 1].sum()), budget * total)
+        told = [(*(r[k] for k in keys), float(w), float(min(1.0, scale * w)) if r["n"] > 0 else budget) for r, w in zip(held, weight, strict=True)]
         fitted_cells = F.broadcast(spark.createDataFrame(told, ", ".join(f"{k} string" for k in keys) + ", weight double, probability double"))  # at most local_cells
     else:
         natural = cells.withColumn("natural", F.col("n") / total)
@@ -177,21 +183,34 @@ def mix(spark: SparkSession, described: DataFrame, targets: Mapping[str, Mapping
             t = targets[d]
             if isinstance(t, Mapping):
                 given = spark.createDataFrame([(str(v), float(x)) for v, x in t.items()], f"{key} string, given double")
-                raw = share.join(given, key, "left").withColumn("target", F.coalesce("given", "s"))
+                raw = share.join(given, key, "left").withColumn("target", F.when(F.col("s") > 0, F.coalesce("given", "s")).otherwise(0.0))
             else:
                 raw = share.withColumn("target", F.when(F.col("s") > 0, F.pow("s", F.lit(float(t)))).otherwise(0.0))
             whole = raw.agg(F.sum("target")).first()[0]
             goals[key] = raw.select(key, (F.col("target") / whole).alias("target"))
         raked = rake_frames(work, natural, keys, goals, budget)
-        weight = F.coalesce(F.try_divide(F.col("fitted"), F.col("natural")), F.lit(1.0))
-        fitted_cells = raked.select(*keys, weight.alias("weight"), F.least(weight * budget, F.lit(1.0)).alias("probability"))
+        weighted = work.save(raked.select(*keys, "n", F.coalesce(F.try_divide(F.col("fitted"), F.col("natural")), F.lit(1.0)).alias("weight")), "weighted")
+
+        def sums(x: float) -> tuple[float, float]:
+            whole = x * F.col("weight") >= 1
+            return tuple(v or 0.0 for v in weighted.agg(F.sum(F.when(whole, F.col("n"))), F.sum(F.when(~whole, F.col("n") * F.col("weight")))).first())
+
+        scale = _scale(sums, budget * total)
+        likely = F.when(F.col("n") > 0, F.least(F.lit(scale) * F.col("weight"), F.lit(1.0))).otherwise(budget)
+        fitted_cells = weighted.select(*keys, "weight", likely.alias("probability"))
     return rows.join(fitted_cells, keys).withColumn("kept", uniform(F.col(id_col), seed) < F.col("probability")).drop(*keys)
 
 
-def _scale(n: np.ndarray, weight: np.ndarray, budget: float) -> float:
-    """The factor at which the expected tokens meet the budget, by bisection."""
-    low, high, goal = 0.0, 1e9, budget * n.sum()
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (n * np.minimum(1, mid * weight)).sum() < goal else (low, mid)
-    return high
+def _scale(sums: Callable[[float], tuple[float, float]], goal: float) -> float:
+    """The factor at which the expected tokens meet the goal, or at which no cell can give more.
+
+    sums(x): tokens of the cells with x * weight >= 1, and the others' tokens times their weight. What is expected
+    is concave in x, so Newton's steps from 0 rise to the factor, and each but the last fills a cell.
+    """
+    scale = 0.0
+    while True:
+        whole, rest = sums(scale)
+        then = (goal - whole) / rest if rest > 0 else scale
+        if then <= scale * (1 + 1e-12):
+            return scale
+        scale = then
