@@ -22,57 +22,121 @@ BUDGET = 0.5
 ROUNDS, CLOSE = 200, 1e-9
 #: Cells that are raked on the driver; more are raked as DataFrames.
 LOCAL_CELLS = 50_000
-#: Topics: groups of hashed word profiles, fitted on the so many documents with the least hashed ids.
-TOPICS, TOPIC_SAMPLE, PROFILE = 6, 2000, 256
+#: Topics: groups of hashed word profiles, fitted on all documents in at most so many updates.
+TOPICS, UPDATES, PROFILE = 6, 25, 256
+#: Profiles and centres are whole multiples of 1/GRID: cosines and sums are exact, in whatever order rows come.
+GRID = 1 << 20
 GATHER = 8 << 20
 
 
 def profiles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(number of words, unit profile of hashed words) of each text; no words, no profile."""
+    n, counts = word_profile(texts)
+    return n, unit_profiles(counts)
+
+
+def word_profile(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of words, how many of them fall to each of PROFILE hashes) of each text."""
     data = [(t or "").encode("utf-8", "surrogatepass").lower() for t in texts]
     words, starts = word_hashes(b"\n".join(data))
     begin = np.cumsum([0, *(len(d) + 1 for d in data)])
     bounds = np.searchsorted(starts, begin)
     n = np.diff(bounds)
     owner = np.repeat(np.arange(len(data)), n)
-    held = np.bincount(owner * PROFILE + (words >> np.uint64(56)).astype(np.int64), minlength=len(data) * PROFILE).reshape(len(data), PROFILE)
-    held = np.log1p(held)
+    return n, np.bincount(owner * PROFILE + (words >> np.uint64(56)).astype(np.int64), minlength=len(data) * PROFILE).reshape(len(data), PROFILE)
+
+
+def unit_profiles(counts: np.ndarray) -> np.ndarray:
+    """Logarithms of counts, at length 1, on the grid."""
+    held = np.log1p(counts)
     norm = np.sqrt((held**2).sum(1, keepdims=True))
-    return n, np.divide(held, norm, out=held, where=norm > 0)
+    return np.rint(np.divide(held, norm, out=held, where=norm > 0) * GRID) / GRID
 
 
-def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: int = TOPICS, sample: int = TOPIC_SAMPLE) -> np.ndarray:
-    """Centres of spherical k-means, farthest-first start, on a bounded sample; executors make the profiles."""
-    text_batches(docs.sparkSession)
+def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topics: int = TOPICS, updates: int = UPDATES) -> np.ndarray:
+    """Centres of spherical k-means, farthest-first start, on all documents with words; repeated rows count each.
 
-    def run(batches):
-        import pyarrow as pa
+    Texts become counts of 256 hashed words once, written for the passes to read; a pass brings the driver one row
+    for each task in the start, and one for each centre and hash in an update. The same documents give the same
+    centres however they are dealt.
+    """
+    import pyarrow as pa
+
+    spark = docs.sparkSession
+    work = Scratch(spark, "topics")
 
+    def count(batches):
         for batch in batches:
-            for held in chunks_of(rows_of(batch, "id", "text"), GATHER, lambda r: len(r[1] or "")):
-                n, x = profiles([r[1] for r in held])
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], batch.schema.field(0).type), pa.array(n), pa.array(list(x), pa.list_(pa.float64()))], ["id", "n", "x"])
-
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    least = slim.select("id").distinct().orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample)
-    picked = slim.join(F.broadcast(least), "id", "left_semi").dropDuplicates(["id"])  # bounded by ``sample``
-    rows = picked.mapInArrow(run, T.StructType([slim.schema["id"], T.StructField("n", T.LongType()), T.StructField("x", T.ArrayType(T.DoubleType()))])).where("n > 0").collect()
-    x = np.array([r["x"] for r in sorted(rows, key=lambda r: r["id"])]).reshape(-1, PROFILE)
-    if not len(x):
+            for held in chunks_of(rows_of(batch, "text"), GATHER, lambda r: len(r[0] or "")):
+                n, counts = word_profile([r[0] for r in held])
+                counts = counts.astype("<u4")[n > 0]
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in counts], pa.binary())], ["counts"])
+
+    made = work.save(docs.select(F.col(text_col).alias("text")).mapInArrow(count, "counts binary"), "counts")
+
+    def read(batch):
+        return np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4").reshape(-1, PROFILE)
+
+    def farthest(centres):
+        def run(batches):
+            best = None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                counts = read(batch)
+                close = (unit_profiles(counts) @ centres.T).max(1)
+                least = close.min()
+                # of equals the least counts, as bytes
+                here = (float(least), min(counts[k].tobytes() for k in np.flatnonzero(close == least)))
+                best = here if best is None or here < best else best
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], ["close", "counts"])
+
+        found = made.mapInArrow(run, "close double, counts binary").orderBy("close", "counts").first()
+        return found and (found["close"], unit_profiles(np.frombuffer(found["counts"], "<u4").reshape(1, PROFILE))[0])
+
+    def sums(centres):
+        def run(batches):
+            total = np.zeros(centres.shape, np.int64)
+            for batch in batches:
+                x = unit_profiles(read(batch))
+                near = (x @ centres.T).argmax(1)
+                for k in range(len(centres)):
+                    total[k] += (x[near == k] * GRID).astype(np.int64).sum(0)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["at", "n"])
+
+        total = np.zeros(centres.size)
+        for at, n in made.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n")).collect():
+            total[at] = n
+        return total.reshape(centres.shape)
+
+    # the start: the document farthest from the mean direction, then from those chosen
+    whole = sums(np.zeros((1, PROFILE)))
+    if not whole.any():
         return np.zeros((1, PROFILE))
-    centres = [x[0]]
-    while len(centres) < min(topics, len(x)):
-        centres.append(x[int((x @ np.array(centres).T).max(1).argmin())])
-    centres = np.array(centres)
-    for _ in range(25):
-        near = (x @ centres.T).argmax(1)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
-        norm = np.sqrt((sums**2).sum(1, keepdims=True))
-        centres = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centres)
+    centres = _unit(whole)
+    chosen: list[np.ndarray] = []
+    while len(chosen) < topics:
+        close, x = farthest(np.array(chosen) if chosen else centres)
+        if chosen and close >= 1 - 1e-5:  # no other profile is left
+            break
+        chosen.append(x)
+    centres = np.array(chosen)
+    for _ in range(updates):
+        before, total = centres, sums(centres)
+        centres = np.where(total.any(1, keepdims=True), _unit(total), centres)
+        if (centres == before).all():
+            break
+    work.drop("counts")
     return centres
 
 
+def _unit(sums: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((sums**2).sum(1, keepdims=True))
+    return np.rint(np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0) * GRID) / GRID
+
+
 def describe(docs: DataFrame, centres: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """(id, kept columns, tokens, topic): tokens are words; a text without words is of topic t0."""
     text_batches(docs.sparkSession)

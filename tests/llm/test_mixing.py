@@ -29,3 +29,16 @@ def test_both_sizes_rake_saturated_cells_alike(spark):
     for i, r in local.items():
         assert frames[i]["probability"] == pytest.approx(r["probability"], abs=1e-6) and frames[i]["weight"] == pytest.approx(r["weight"], rel=1e-5)
         assert frames[i]["kept"] == r["kept"]
+
+
+def test_a_rare_topic_gets_a_centre_however_rows_are_dealt(spark):
+    rnd = random.Random(4)
+    groups = [[f"{name}{k}" for k in range(40)] for name in ("a", "b", "c")]
+    docs = [(k, " ".join(rnd.choice(groups[k % 2]) for _ in range(60))) for k in range(6000)]
+    docs += [(10_000 + k, " ".join(rnd.choice(groups[2]) for _ in range(60))) for k in range(3)]  # one in 2001
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    centres = mixing.fit_topics(frame, topics=3)
+    topic = {r["doc_id"]: r["topic"] for r in mixing.describe(frame, centres, keep=()).collect()}
+    assert [len({topic[k] for k, _ in docs[i:6000:2]}) for i in (0, 1)] == [1, 1]
+    assert len({topic[0], topic[1], topic[10_000]}) == 3 and len({topic[10_000 + k] for k in range(3)}) == 1
+    assert (mixing.fit_topics(frame.repartition(7), topics=3) == centres).all()
