@@ -22,12 +22,16 @@ from pyspark.sql import types as T
 
 from .common import rows_of, text_batches
 
-#: Labelled documents learned from: those with the least hashed ids. Terms of the vocabulary. Neighbours that vote.
+#: Labelled documents learned from: of each label those with the least hashed ids. Terms of the vocabulary. Neighbours that vote.
 EXAMPLES, TERMS, NEIGHBOURS = 12_000, 4096, 25
 #: Chi-square of a term, and how many times as often toxic examples must hold it as others.
 LEAST_CHI, LIFT = 20.0, 3.0
-#: Examples in a block. Weight of the prior in a vote. A term needs so many examples.
-BLOCK, PRIOR_WEIGHT, LEAST_EXAMPLES = 128, 0.25, 5
+#: Examples in a block. Weight of the prior in a vote.
+BLOCK, PRIOR_WEIGHT = 128, 0.25
+#: A term needs so many examples; with few toxic ones a tenth of them, two at least.
+LEAST_EXAMPLES = 5
+#: Each label gets this part of the examples at least, if it has as many rows.
+LEAST_PART = 0.1
 THRESHOLD = 0.7
 BEGINNINGS = (4, 5)
 _WORDS = re.compile(r"\w+").findall
@@ -118,15 +122,30 @@ def _holding(wanted: Vocabulary):
     return run
 
 
+def least_examples(positives: int) -> int:
+    return max(2, min(LEAST_EXAMPLES, positives // 10))
+
+
+def shares(positives: int, negatives: int, examples: int) -> tuple[int, int]:
+    """How many examples of either label are drawn: in proportion, but LEAST_PART of the rarer at least."""
+    if positives + negatives <= examples:
+        return positives, negatives
+    least = int(LEAST_PART * examples)
+    drawn = round(examples * positives / (positives + negatives))
+    drawn = min(positives, max(drawn, min(least, positives), examples - negatives))
+    drawn = max(examples - negatives, min(drawn, examples - min(least, negatives)))
+    return drawn, min(negatives, examples - drawn)
+
+
 def choose_terms(sample: DataFrame, positives: int, negatives: int, terms: int = TERMS) -> list[str]:
-    """The terms of greatest chi-square with the label, those that LEAST_EXAMPLES examples hold at least."""
+    """The terms of greatest chi-square with the label, those that enough examples hold."""
     if not positives or not negatives:
         return []
     held = sample.mapInArrow(_listed, "term string, a long, b long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
     p, q = F.lit(float(positives)), F.lit(float(negatives))
     diff = F.col("a") * (q - F.col("b")) - F.col("b") * (p - F.col("a"))
     below = (F.col("a") + F.col("b")) * (p + q - F.col("a") - F.col("b")) * p * q
-    scored = held.where(F.col("a") + F.col("b") >= LEAST_EXAMPLES).withColumn("chi", F.try_divide(diff * diff * (p + q), below))
+    scored = held.where(F.col("a") + F.col("b") >= least_examples(positives)).withColumn("chi", F.try_divide(diff * diff * (p + q), below))
     # telling terms only: weak ones, as long texts hold, would drown them and make every document near every other
     rate, other = (F.col("a") + 0.5) / (p + 1), (F.col("b") + 0.5) / (q + 1)
     scored = scored.where((F.col("chi") > LEAST_CHI) & (rate > LIFT * other))
@@ -144,10 +163,11 @@ class Neighbours:
     first: np.ndarray  # [term, block]: where the term's postings in the block begin
     most: np.ndarray  # [term, block]: largest weight there
     prior: float
+    lift: tuple[float, float] = (1.0, 1.0)  # labelled rows that an example of label 0, of label 1 stands for
     knots: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
 
     @classmethod
-    def build(cls, vectors: list[tuple[list[int], list[int]]], labels: list[int], idf: np.ndarray, prior: float) -> Neighbours:
+    def build(cls, vectors: list[tuple[list[int], list[int]]], labels: list[int], idf: np.ndarray, prior: float, lift: tuple[float, float] = (1.0, 1.0)) -> Neighbours:
         blocks = max(1, -(-len(vectors) // BLOCK))
         term, example, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for k, (terms, counts) in enumerate(vectors):
@@ -162,7 +182,7 @@ class Neighbours:
         first = np.searchsorted(place, np.arange(len(idf) * blocks + 1))
         most = np.zeros(len(idf) * blocks)
         np.maximum.at(most, place, weight)
-        return cls(idf, np.array(labels, float), example, weight, first, most.reshape(len(idf), blocks), prior)
+        return cls(idf, np.array(labels, float), example, weight, first, most.reshape(len(idf), blocks), prior, lift)
 
     def nearest(self, terms, counts, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, ties to the smaller number."""
@@ -192,7 +212,7 @@ class Neighbours:
         return ids[best], np.minimum(cosines[best], 1.0)
 
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
-        w = cosines**2
+        w = cosines**2 * np.where(self.labels[ids] > 0, self.lift[1], self.lift[0])
         return float((w @ self.labels[ids] + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT))
 
     def calibrate(self, vectors, k: int) -> None:
@@ -200,7 +220,8 @@ class Neighbours:
         votes = np.array([self.vote(*self.nearest(t, c, k, without=i)) for i, (t, c) in enumerate(vectors)])
         pools: list[list[float]] = []  # vote sum, label sum, size
         for v, y in sorted(zip(votes.tolist(), self.labels.tolist(), strict=True)):
-            pools.append([v, y, 1])
+            n = self.lift[int(y > 0)]
+            pools.append([v * n, y * n, n])
             while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
                 last = pools.pop()
                 pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
@@ -239,13 +260,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     text_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    picked = known.orderBy(F.xxhash64("id"), "id").limit(examples).collect()
+    # labels without a document teach nothing: they are neither drawn nor counted
+    known = known.join(slim.select("id"), "id", "left_semi")
+    sizes = dict(known.groupBy((F.col("toxic") > 0).alias("t")).count().collect())
+    drawn = shares(sizes.get(True, 0), sizes.get(False, 0), examples)
+    nearest = lambda toxic, n: known.where((F.col("toxic") > 0) == toxic).orderBy(F.xxhash64("id"), "id").limit(n).collect()
+    picked = nearest(True, drawn[0]) + nearest(False, drawn[1])
     spark = docs.sparkSession
     sample = spark.createDataFrame([(r["id"], r["toxic"]) for r in picked], T.StructType([slim.schema["id"], T.StructField("toxic", T.IntegerType())]))
     sample = slim.join(F.broadcast(sample), "id").dropDuplicates(["id"])  # bounded by ``examples``
-    toxic = dict(picked)
+    toxic = {r["id"]: int(r["toxic"] > 0) for r in picked}
     positives = sum(toxic.values())
-    prior = (positives + 1) / (len(toxic) + 2)
+    prior = (sizes.get(True, 0) + 1) / (sum(sizes.values()) + 2)
+    # a label drawn beyond its share counts less in votes and calibration; relative to the mean, 1 in proportion
+    mean = sum(sizes.values()) / max(1, len(toxic))
+    lift = tuple(sizes.get(t, 0) / n / mean if n else 1.0 for t, n in ((False, drawn[1]), (True, drawn[0])))
     wanted = Vocabulary(choose_terms(sample.select("toxic", "text"), positives, len(toxic) - positives, terms))
     held = dict(slim.select("text").mapInArrow(_holding(wanted), "term int, n long").groupBy("term").agg(F.sum("n")).collect()) if wanted else {}
     total = held.get(-1, 0)
@@ -255,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # examples led by the same term stand together, so that few blocks have large bounds for a document
     rows = sorted(rows, key=lambda r: _leading(r["terms"], r["counts"], idf))
     vectors = [(r["terms"], r["counts"]) for r in rows]
-    index = Neighbours.build(vectors, [toxic[r["id"]] for r in rows], idf, prior)
+    index = Neighbours.build(vectors, [toxic[r["id"]] for r in rows], idf, prior, lift)
     index.calibrate(vectors, neighbours)
     return Model(wanted, [r["id"] for r in rows], index)
 
