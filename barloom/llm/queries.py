@@ -74,8 +74,8 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM each WINDOW same AS (PARTITION BY text_sha256)
 """
 
-#: Labels of hosts whose pages make up the list. A production list is a table of canonical URLs.
-LISTED_HOSTS = ("ads-track", "spam-farm", "casino-win", "cheap-pills", "free-bets", "adult-x")
+#: Runs of marks in a page's text by which its content is judged junk, and how many of them it takes.
+JUNK_MARKS, JUNK_RUNS = ("%%%", "***", "$$$"), 3
 
 
 #: Sources and topics are tempered, languages given. Sources of one size get equal shares.
@@ -88,40 +88,48 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(spark, mixing.describe(docs, mixing.fit_topics(docs)), MIX_TARGETS)
 
 
+def junk_urls(pages: DataFrame) -> DataFrame:
+    """The list: canonical URLs of pages judged junk by their content, whatever their address looks like."""
+    runs = sum((F.size(F.split("html", "\\Q" + m + "\\E")) - 1 for m in JUNK_MARKS), start=F.lit(0))
+    return pages.where(runs >= JUNK_RUNS).select(url_filter.canonical(F.col("url")).alias("url"))
+
+
 @query
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    bad = F.arrays_overlap(F.split(url_filter.host_of(F.col("url")), "[.]"), F.array(*map(F.lit, LISTED_HOSTS)))
-    listed = pages.where(bad).select(url_filter.canonical(F.col("url")).alias("url"))
-    return url_filter.filter_urls(spark, pages, listed).drop("listed")
+    return url_filter.filter_urls(spark, pages, junk_urls(pages))
 
 
 _SQL["op8_url_filter"] = r"""
 WITH cut AS (
-  SELECT page_id, url,
-    translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    coalesce(regexp_extract(url, '^.*?://[^/?#]*(/[^?#]*)', 1, 's'), '') AS path,
-    regexp_extract(url, '^.*?://[^?#]*\?([^#]*)', 1, 's') AS query
-  FROM pages
+  SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), part AS (
+  SELECT page_id, html, rest, split_part(rest, '#', 1) AS address, split_part(split_part(split_part(rest, '#', 1), '?', 1), '/', 1) AS raw_host,
+    split_part(split_part(rest, '#', 1), '?', 1) AS place
+  FROM cut
+), named AS (
+  SELECT page_id, html, rest, coalesce(translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(substr(place, length(raw_host) + 1), '') AS path, coalesce(substr(address, length(place) + 2), '') AS query
+  FROM part
 ), canon AS (
-  SELECT *, CASE WHEN contains(url, '://') THEN
+  SELECT *, CASE WHEN rest IS NOT NULL THEN
     regexp_replace(host, '^(?:www|m)\.', '') || regexp_replace(regexp_replace(path, '(?:/+|/index)$', ''), '\.html?$', '')
-    || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid)(?:=|$)'))), '&'), ''), '') END AS canonical,
-    CASE
-      WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
-      WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
-      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
-      WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
-      WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/'
-    END AS rule
-  FROM cut
+    || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid)(?:=|$)'))), '&'), ''), '') END AS canonical
+  FROM named
+), rules(rule, verdict, site, prefix) AS (
+  VALUES ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'), ('www.example.com/en/', 'allow', 'www.example.com', '/en/'),
+         ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')
+), best AS (
+  SELECT page_id, arg_max(rules.rule, length(rules.rule)) AS rule, arg_max(rules.verdict, length(rules.rule)) AS verdict
+  FROM canon JOIN rules ON ends_with('.' || host, '.' || site) AND starts_with(path, prefix) GROUP BY page_id
 ), listed AS (
-  SELECT DISTINCT canonical AS url FROM canon
-  WHERE canonical IS NOT NULL AND list_has_any(string_split(host, '.'), ['ads-track', 'spam-farm', 'casino-win', 'cheap-pills', 'free-bets', 'adult-x'])
+  SELECT DISTINCT canonical FROM canon
+  WHERE canonical IS NOT NULL AND len(string_split(html, '%%%')) + len(string_split(html, '***')) + len(string_split(html, '$$$')) - 3 >= 3
 )
-SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN canonical IN (SELECT url FROM listed) THEN 'block' ELSE 'allow' END AS verdict
-FROM canon
+SELECT canon.page_id, host, path, best.rule,
+  CASE WHEN best.rule IS NOT NULL THEN best.verdict WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict,
+  best.rule IS NULL AND coalesce(canonical IN (SELECT canonical FROM listed), false) AS listed
+FROM canon LEFT JOIN best USING (page_id)
 """
 
 

@@ -22,14 +22,27 @@ BLOCK_BITS = 14
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)"
 
 
+def _rest(url: Column) -> Column:
+    """What follows the first ://; null where null or without one."""
+    at = F.locate("://", url)
+    return F.when(at > 0, F.substring(url, at + 3, F.char_length(url)))
+
+
+def _upto(text: Column, marks: str) -> Column:
+    """Up to the first of the marks, or the end."""
+    return F.regexp_extract(text, f"^[^{marks}]*", 0)
+
+
 def host_of(url: Column) -> Column:
     """After the first :// up to /, ?, # or the end, A-Z lower-cased; empty where null or without ://."""
-    return F.coalesce(ascii_lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
+    return F.coalesce(ascii_lower(_upto(_rest(url), "/?#")), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
-    """After the host up to ?, # or the end."""
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    """After the host up to ?, # or the end; a :// further on, as in a query string, is text like any other."""
+    rest = _rest(url)
+    begin = F.char_length(_upto(rest, "/?#"))
+    return F.coalesce(_upto(F.substring(rest, begin + 1, F.char_length(rest)), "?#"), F.lit(""))
 
 
 def canonical(url: Column) -> Column:
@@ -39,7 +52,7 @@ def canonical(url: Column) -> Column:
     """
     host = F.regexp_replace(host_of(url), r"^(?:www|m)\.", "")
     path = F.regexp_replace(F.regexp_replace(path_of(url), r"(?:/+|/index)$", ""), r"\.html?$", "")
-    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
+    query = F.regexp_extract(_upto(_rest(url), "#"), r"(?s)^[^?]*\?(.*)", 1)
     kept = F.array_sort(F.filter(F.split(query, "&"), lambda x: (x != "") & ~x.rlike(f"^{TRACKING}(?:=|$)")))
     return F.when(url.contains("://"), F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")))
 

@@ -145,6 +145,26 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(spark, pages.limit(0), listed).count() == 0
 
 
+def test_urls_inside_urls(spark, tmp_path):
+    """Only the first :// counts; the query, by SQL written another way, agrees."""
+    import duckdb
+
+    from barloom.llm import queries
+
+    urls = ["http://x.net?u=http://y/es/1", "http://a.com?next=http://b.net/es/x", "http://x.org#http://b.net/es/", "http://x.org/a?b=c://net/fr/", "http://NET/es/?q=1", "://net/fr/x", "a://://net/es/", "http:///en/", "http://www.example.com/en/", "http://sub.www.example.com/en/a#b?c", "http://é.com/x?y", "http://example.com", "x", "", None, "http://j.org/p/?b=2&a=1&utm_source=q#f", "https://m.j.org/p.html?a=1&b=2", "http://j.org/p?a=1"]
+    rows = [(k, u, "%%% a %%% b $$$" if k == 15 else "*** %%%") for k, u in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["page_id"]: r for r in queries.op8_url_filter(spark, str(tmp_path)).collect()}
+    told = lambda k: tuple(found[k][c] for c in ("host", "path", "rule", "verdict"))
+    assert told(0) == ("x.net", "", None, "allow") and told(1) == ("a.com", "", None, "allow") and told(2) == ("x.org", "", None, "allow")
+    assert told(3) == ("x.org", "/a", None, "allow") and told(4) == ("net", "/es/", "net/es/", "block") and told(5) == ("net", "/fr/x", "net/fr/", "block")
+    assert [told(k)[3] for k in (15, 16, 17)] == ["block", "block", "allow"]  # one page judged, and its other address
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        names = ["page_id", "host", "path", "rule", "verdict", "listed"]
+        assert sorted(db.sql(queries.oracle_sql()["op8_url_filter"]).select(*names).fetchall()) == sorted(tuple(r[c] for c in names) for r in found.values())
+
+
 def test_bloom_filter_has_no_false_negatives(spark):
     listed = spark.range(3000).select(F.concat(F.lit("h.org/"), F.col("id")).alias("url"))
     words = url_filter.bloom_words(listed, 6).first()["words"]
