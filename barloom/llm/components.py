@@ -12,13 +12,14 @@ def connected_components(work: Scratch, edges: DataFrame, name: str, max_rounds:
     """(node, component): the smallest node each node of ``edges`` (a, b) reaches.
 
     Each round writes its edges, so a lost executor never restarts the iteration. Every step deals out edges by a
-    node; the large star of a node is a plain minimum joined back, so a hub does not gather its neighbours.
+    node; the large star of a node is a minimum, formed before the shuffle, written and joined back, so a hub does not
+    gather its neighbours and the join can deal a hub's edges to several tasks.
     """
     now = work.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
     done = None
     for k in range(1, max_rounds + 1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = work.save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), f"{name}-low-{k}")
         # large star: larger neighbours of a node point at the least node around it
         large = now.join(low.withColumnRenamed("a", "b"), "b").select("a", F.col("m").alias("b")).where("a <> b")
         large = large.unionByName(low.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
@@ -28,7 +29,7 @@ def connected_components(work: Scratch, edges: DataFrame, name: str, max_rounds:
         then = work.save(least.select("a", F.col("m").alias("b")).unionByName(small).distinct(), f"{name}-{k}")
         # finished when each node has one smaller neighbour, and that has none
         state = then.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        work.drop(f"{name}-{k - 1}")
+        work.drop(f"{name}-{k - 1}", f"{name}-low-{k}")
         if done == tuple(state):
             return then.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(then.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         done, now = tuple(state), then

@@ -8,13 +8,15 @@ Two sets link when 100 * |A and B| >= percent * |A or B|. Then each shares at le
 2. Keys. What is left is joined by size. Small (light) sets enumerate their subsets of the fixed sizes that a
    partner must share. Large (heavy) sets post their rarest shingles, just enough that linked sets meet in a list,
    to inverted lists. The boundary is the size up to which subsets cost less than lists, from counted sizes.
-3. Links. A list's sets are first compared with its least member only. Then components are formed, and members of
-   one list that lie in different components are compared with each other. So a list of thousands of near copies
-   takes thousands of comparisons, not their square, and every component comes out exact. Before full sets are
-   fetched, two exact bounds drop pairs inside the join: a shared shingle's ranks in both sets bound the overlap
-   from above, and so do the bits in which the parities of both sets' hashed shingles differ.
-
-Sets are compared by 64-bit shingle hashes. Equal sets are one class, represented by the smallest id.
+3. Links. In a pass each set is compared with one partner from another component, the same one for as many sets as
+   possible, so a pass makes no more edges than there are sets, however many lists a group of near copies shares.
+   Components are formed, and the next pass looks only at lists whose members lie in different components. When the
+   pairs left in such lists are few for their members, or a pass finds nothing, they are all compared; so every
+   component comes out exact. Before full sets are fetched, two exact bounds drop pairs: a shared shingle's ranks in
+   both sets bound the overlap from above, and so do the bits in which the parities of both sets' shingles differ.
+
+Shingles are hashes of XXH3 word hashes, 64 bits; small sets, of which many may exist, are compared by a second
+64 bits too. Equal sets are one class, represented by the smallest id.
 """
 
 from __future__ import annotations
@@ -30,17 +32,19 @@ from pyspark.sql import types as T
 
 from .common import Scratch, chunks_of, maybe_broadcast, rows_of
 from .components import connected_components
-from .shingles import shingle_sets
+from .shingles import WordHashes, shingle_sets
 
 SHINGLE_WORDS, PERCENT = 5, 80
-#: Text characters whose blobs are built at once.
-GATHER = 8 << 20
+#: Text characters whose blobs are built at once, and text characters whose shingles one hash range holds, about.
+GATHER, RANGE = 8 << 20, 16 << 20
 #: Largest size for which subsets are considered at all.
 MAX_LIGHT = 14
 #: 64-bit words of a set's parity bits.
 WORDS = 16
 #: Members of one component in one list beyond which they are not joined among themselves.
 CROWD = 512
+#: Pairs for each member of open lists beyond which another pass is made first; passes at most.
+DENSE, PASSES = 4, 12
 
 
 def common(n, percent: int):
@@ -63,7 +67,7 @@ def needed(n, percent: int):
     return np.minimum(slack(least, percent), common(least, percent))
 
 
-META = "id long, n long, d1 long, d2 long, kind int, bucket int, low binary, ids binary, needs binary"
+META = "id long, n long, d1 long, d2 long, times long, need long, bucket int, low binary, ids binary, needs binary"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -76,64 +80,81 @@ def _unplanes(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
-def _digest(s: np.ndarray) -> tuple[int, int]:
+class _Sets:
+    """Shingle sets of texts; for small ones also their second hashes."""
+
+    def __init__(self, size: int):
+        self.size, self.first, self.second = size, WordHashes(), WordHashes(seed=1)
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray | None]:
+        (s,) = shingle_sets((text,), self.size, self.first)
+        return s, next(shingle_sets((text,), self.size, self.second)) if len(s) <= MAX_LIGHT else None
+
+
+def _digest(s: np.ndarray, t: np.ndarray | None) -> tuple[int, int]:
     """128 bits of a set."""
     import xxhash
 
-    d = xxhash.xxh3_128_intdigest(s.tobytes())
+    d = xxhash.xxh3_128_intdigest(s.tobytes() + (b"" if t is None else t.tobytes()))
     return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
 def _gather(bucket_bits: int, size: int, percent: int):
-    """Rows of kind 0: id, n and digest of a set; of kind 1: the prefix shingles of many sets in one hash range."""
+    """A row for each document (bucket null): id, n, digest of its set, how many of its prefix shingles other documents
+    at hand share, and how many must be shared. Rows of a bucket: each prefix shingle in one hash range once, with the
+    id that waits to hear of it elsewhere; a shingle found to be shared already has need 0 and only tells others."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         names = [x.split()[0] for x in META.split(", ")]
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()] * 3
+        kinds = [pa.int64()] * 6 + [pa.int32()] + [pa.binary()] * 3
         told = lambda columns: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        sets_of = _Sets(size)
         rows = (row for batch in batches for row in rows_of(batch, "id", "text"))
         for held in chunks_of(rows, GATHER, lambda r: len(r[1] or "")):
             ids = np.array([r[0] for r in held], np.int64)
-            meta, hashes, owner = [], [], []
-            for k, s in enumerate(shingle_sets((r[1] for r in held), size)):
-                meta.append((len(s), *_digest(s)))
+            meta, hashes, owner = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+            for k, (_, text) in enumerate(held):
+                s, t = sets_of(text)
+                meta.append((len(s), *_digest(s, t)))
                 take = int(prefix(len(s), percent)) if len(s) else 0
                 hashes.append(s[:take])
                 owner.append(np.full(take, k, np.int32))
             n, d1, d2 = map(list, zip(*meta, strict=True))
-            zero, none = [0] * len(ids), [None] * len(ids)
-            yield told([ids, n, d1, d2, zero, zero, none, none, none])
-            h, o = np.concatenate(hashes), np.concatenate(owner)
-            if not len(h):
+            need = np.minimum(needed(np.maximum(np.array(n), 1), percent), 65535)
+            # the prefix holds the smallest hashes, so ranges are taken of a product
+            v = np.concatenate(hashes) * np.uint64(0xD6E8FEB86659FD93)
+            order = np.argsort(v, kind="stable")
+            v, o = v[order], np.concatenate(owner)[order]
+            begin = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+            count = np.diff(np.append(begin, len(v)))
+            times = np.bincount(o[np.repeat(count > 1, count)], minlength=len(ids))
+            none = [None] * len(ids)
+            yield told([ids, n, d1, d2, times, need, none, none, none, none])
+            if not len(v):
                 continue
-            need = np.minimum(needed(np.maximum(np.array(n), 1), percent), 65535).astype(np.uint16)
-            part = (_spread(h) >> np.uint64(64 - bucket_bits)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            h, o, part = h[order].astype(np.uint32), o[order], part[order]
+            v, o = v[begin], o[begin]
+            waits = np.where(count > 1, 0, need[o]).astype(np.uint16)
+            part = (v >> np.uint64(64 - bucket_bits)).astype(np.int32)
+            low = (v >> np.uint64(32 - bucket_bits)).astype(np.uint32)
             cuts = np.flatnonzero(np.diff(part)) + 1
-            spans = list(zip([0, *cuts], [*cuts, len(h)], strict=True))
-            zero = [0] * len(spans)
-            yield told([zero, zero, zero, zero, [1] * len(spans), [int(part[a]) for a, _ in spans], [h[a:b].tobytes() for a, b in spans], [_planes(ids[o[a:b]]) for a, b in spans], [_planes(need[o[a:b]]) for a, b in spans]])
+            spans = list(zip([0, *cuts], [*cuts, len(v)], strict=True))
+            none = [None] * len(spans)
+            yield told([*[none] * 6, [int(part[a]) for a, _ in spans], [low[a:b].tobytes() for a, b in spans], [_planes(ids[o[a:b]]) for a, b in spans], [_planes(waits[a:b]) for a, b in spans]])
 
     return run
 
 
-def _spread(h: np.ndarray) -> np.ndarray:
-    """The prefix holds the smallest hashes, so ranges are taken of a product."""
-    return h * np.uint64(0xD6E8FEB86659FD93)
-
-
 def _shared(batch):
-    """Of one hash range: for each id, how many of its prefix shingles another set has too."""
+    """Of one hash range: for each id that waits, how many of its prefix shingles came from elsewhere too."""
     import pandas as pd
 
     low = np.concatenate([np.frombuffer(x, np.uint32) for x in batch["low"]])
     ids = np.concatenate([_unplanes(x, np.int64) for x in batch["ids"]])
     need = np.concatenate([_unplanes(x, np.uint16) for x in batch["needs"]])
     _, inverse, count = np.unique(low, return_inverse=True, return_counts=True)
-    hit = count[inverse] > 1
+    hit = (count[inverse] > 1) & (need > 0)
     who, first, times = np.unique(ids[hit], return_index=True, return_counts=True)
     return pd.DataFrame({"id": who, "times": times.astype(np.int64), "need": need[hit][first].astype(np.int64)})
 
@@ -144,18 +165,26 @@ def _parity(s: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(np.uint8)).view(np.int64)
 
 
+SETS = "id long, h long, s array<long>, t array<long>, bits array<long>"
+
+
 def _sets_of(size: int):
+    """(id, hash of the set, set, second hashes of a small one, parity bits)."""
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        sets_of = _Sets(size)
+        longs = pa.list_(pa.int64())
         for batch in batches:
             rows = list(rows_of(batch, "id", "text"))
             for held in chunks_of(rows, GATHER, lambda r: len(r[1] or "")):
-                sets = list(shingle_sets((r[1] for r in held), size))
-                offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                values = np.concatenate(sets).view(np.int64)
-                bits = pa.array([_parity(x) for x in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), bits], ["id", "s", "bits"])
+                both = [sets_of(r[1]) for r in held]
+                offsets = np.cumsum([0, *(len(s) for s, _ in both)]).astype(np.int32)
+                values = np.concatenate([s for s, _ in both]).view(np.int64)
+                second = pa.array([None if t is None else t.view(np.int64) for _, t in both], longs)
+                bits = pa.array([_parity(s) for s, _ in both], longs)
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([_digest(*x)[0] for x in both], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), second, bits], ["id", "h", "s", "t", "bits"])
 
     return run
 
@@ -197,25 +226,39 @@ def _light_keys(percent: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (a, b), those whose full sets link; both sides come by equi-joins."""
-    left = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    links = 100 * both >= percent * (F.size("sa") + F.size("sb") - both)
-    return pairs.join(left, "a").join(right, "b").where(links).select("a", "b")
+    left = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"), F.col("t").alias("ta"))
+    right = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"), F.col("t").alias("tb"))
+
+    def link(x, y):
+        both = F.size(F.array_intersect(x, y))
+        return 100 * both >= percent * (F.size(x) + F.size(y) - both)
+
+    told = pairs.join(left, "a").join(right, "b").where(link("sa", "sb") & F.when(F.col("ta").isNotNull() & F.col("tb").isNotNull(), link("ta", "tb")).otherwise(True))
+    return told.select("a", "b").distinct()
+
+
+def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b), those whose sizes and parity bits allow a link."""
+    side = lambda x: sets.select(F.col("rep").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
+    n, m = F.col("a_n"), F.col("b_n")
+    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    by_bits = (n + m - differ) / F.lit(2.0) >= (percent * (n + m)) / F.lit(100.0 + percent) - 1e-9
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes_fit(n, m, percent) & by_bits).select("a", "b").distinct()
 
 
 def _sizes_fit(a, b, percent: int):
     return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
 
-def _posted(sets: DataFrame, percent: int) -> DataFrame:
+def _posted(work: Scratch, sets: DataFrame, percent: int) -> DataFrame:
     """Inverted lists (key, rep, n, at = rank in the set): of each set the shingles that others have, rarest first, as many as it must post.
 
-    Shingles that no other set has come before all others in that order and need no list.
+    Shingles that no other set has come before all others in that order and need no list. Frequencies are written, so
+    that a shingle of very many sets can be dealt to several tasks when they come back.
     """
-    tokens = sets.select("rep", "n", F.explode("s").alias("key"))
-    known = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    lists = tokens.join(known, "key").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held"))
+    tokens = sets.select("rep", "h", "n", F.explode("s").alias("key"))
+    known = work.save(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
+    lists = tokens.join(known, "key").groupBy("rep", "h", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held"))
     n_common = F.ceil(F.col("n") * percent / F.lit(100))
     room = (F.col("n") - n_common + 1) - (F.col("n") - F.size("held"))
     return lists.withColumn("room", room.cast("int")).where("room > 0").select("rep", "n", (F.col("n") - F.size("held")).alias("alone"), F.posexplode(F.slice("held", F.lit(1), F.col("room"))).alias("at", "x")).select(F.col("x.key").alias("key"), "rep", "n", (F.col("alone") + F.col("at")).alias("at"))
@@ -234,69 +277,140 @@ def _meet(left: DataFrame, right: DataFrame, apart, percent: int) -> DataFrame:
     return found.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
 
 
+def _partners(work: Scratch, keys: DataFrame, found: DataFrame, tested: DataFrame | None, k: int) -> DataFrame:
+    """(a, b): for each set of an open list at most one partner there, from another component, not compared yet.
+
+    keys has key and rep, found rep and component. A list offers its first and its last member in an order of all sets
+    that differs from pass to pass; where these lie in different components every member has a partner. Of its lists'
+    offers a set takes the first.
+    """
+    here = keys.select("key", "rep").join(found, "rep").withColumn("order", F.xxhash64("rep", F.lit(100 + k)))
+    offer = F.struct("order", "rep", "component")
+    ends = here.groupBy("key").agg(F.min(offer).alias("x"), F.max(offer).alias("y"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    ends = work.save(ends.select("key", "x", "y"), f"ends-{k}")
+    met = here.join(ends, "key").withColumn("other", F.when(F.col("component") != F.col("x.component"), F.col("x")).when(F.col("component") != F.col("y.component"), F.col("y")))
+    pairs = met.where("other is not null").select("rep", F.struct(F.col("other.order").alias("order"), F.col("other.rep").alias("other")).alias("offer"))
+    if tested is not None:
+        a, b = F.least("rep", "offer.other"), F.greatest("rep", "offer.other")
+        pairs = pairs.withColumns({"a": a, "b": b}).join(tested, ["a", "b"], "left_anti")
+    chosen = pairs.groupBy("rep").agg(F.min("offer").alias("offer"))
+    return chosen.select(F.least("rep", "offer.other").alias("a"), F.greatest("rep", "offer.other").alias("b")).distinct()
+
+
+def _grown(work: Scratch, found: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Components (rep, component) after more links (a, b) between sets: components of the graph between components."""
+    side = lambda x: found.select(F.col("rep").alias(x), F.col("component").alias(f"{x}_in"))
+    edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_in").alias("a"), F.col("b_in").alias("b"))
+    joined = work.save(connected_components(work, edges, name).select(F.col("node").alias("component"), F.col("component").alias("into")), f"{name}-joined")
+    return work.save(found.join(joined, "component", "left").select("rep", F.coalesce("into", "component").alias("component")), f"{name}-found")
+
+
+def _open(in_lists: DataFrame) -> DataFrame:
+    """(key, size, pairs) of the lists with members in different components: members, and pairs of such members."""
+    here = in_lists.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
+    lists = here.groupBy("key").agg(F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("components"))
+    return lists.where("components > 1").select("key", "size", ((F.col("size") * F.col("size") - F.col("same")) / 2).alias("pairs"))
+
+
+def _met(work: Scratch, rest: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of ``rest`` that share a list, lie in different components and may link."""
+    crowds = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("here")).where(F.col("here") > CROWD).select("key", "component")
+    crowds = work.save(crowds, "crowds")
+    if crowds.isEmpty():
+        return _meet(rest, rest, F.col("a.component") < F.col("b.component"), percent).distinct()
+    few = work.save(rest.join(crowds, ["key", "component"], "left_anti"), "few")
+    many = work.save(rest.join(crowds, ["key", "component"], "left_semi"), "many")
+    several = crowds.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    met = _meet(few, few, F.col("a.component") < F.col("b.component"), percent).unionByName(_meet(few, many, F.lit(True), percent))
+    return met.unionByName(_meet(many.join(several, "key", "left_semi"), many, F.col("a.component") < F.col("b.component"), percent)).distinct()
+
+
 def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """One row for each row of docs: id, n_shingles, set_id (smallest id with the same set), component_id, links.
 
     links counts, for the class, the verified links to other classes that were needed to form components; equal
     texts are linked by set_id. Null, empty and blank texts have n_shingles 0 and link with nothing: their set_id
-    and component_id are their own id. Repeated rows repeat their result; an empty table gives an empty one; other
-    columns are not read. Ids are integers; rows without an id are left out.
+    and component_id are their own id. Repeated rows repeat their result; rows of one id with different texts are one
+    document that links by each of them; an empty table gives an empty one; other columns are not read. A text is
+    read whole, whatever its length. Ids are integers; rows without an id are left out.
     """
     work = Scratch(spark, "jaccard-join")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket_bits = max(5, (2 * parts - 1).bit_length())
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    # hash ranges by the amount of text, so that what a task holds of one does not grow with the corpus
+    amount = slim.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    bucket_bits = min(24, max(5, (amount // RANGE).bit_length()))
 
     gathered = work.save(slim.mapInArrow(_gather(bucket_bits, size, percent), META), "gathered")
-    meta = gathered.where("kind = 0").select("id", "n", "d1", "d2")
-    blobs = gathered.where("kind = 1").select("bucket", "low", "ids", "needs")
-    counted = blobs.groupBy("bucket").applyInPandas(_shared, "id long, times long, need long")
+    meta = gathered.where("bucket is null").select("id", "n", "d1", "d2", "times", "need")
+    blobs = gathered.where("bucket is not null").select("bucket", "low", "ids", "needs")
+    counted = blobs.groupBy("bucket").applyInPandas(_shared, "id long, times long, need long").unionByName(meta.where("times > 0").select("id", "times", "need"))
     alive = counted.groupBy("id").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("id")
     alive = work.save(alive, "alive")
 
     # classes of equal sets; one of each goes on
     classes = meta.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = work.save(classes, "classes")
-    reps = work.save(classes.join(alive.withColumnRenamed("id", "rep"), "rep", "left_semi").select(F.col("rep").alias("id")), "reps")
-    chosen = slim.join(maybe_broadcast(reps), "id", "left_semi").mapInArrow(_sets_of(size), "id long, s array<long>, bits array<long>")
-    # a repeated id gives its set once
-    sets = work.save(chosen.dropDuplicates(["id"]).select(F.col("id").alias("rep"), F.size("s").cast("long").alias("n"), "s", "bits"), "sets")
+    reps = work.save(classes.join(alive.withColumnRenamed("id", "rep"), "rep", "left_semi").select(F.col("rep").alias("id")).distinct(), "reps")
+    chosen = slim.join(maybe_broadcast(reps), "id", "left_semi").mapInArrow(_sets_of(size), SETS)
+    several = work.save(meta.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("n", "d1", "d2")).alias("x"), F.max(F.struct("n", "d1", "d2")).alias("y")).where("rows > 1").select("id", (F.col("x") != F.col("y")).alias("differ")), "several")
+    if not several.isEmpty():  # a repeated row gives its set once
+        chosen = chosen.dropDuplicates(["id", "h"])
+    sets = work.save(chosen.select(F.col("id").alias("rep"), "h", F.size("s").cast("long").alias("n"), "s", "t", "bits"), "sets")
 
     counts = {r["n"]: r["count"] for r in sets.where(F.col("n") <= MAX_LIGHT).groupBy("n").count().collect()}
-    lists = work.save(_posted(sets, percent), "posted")
+    lists = work.save(_posted(work, sets, percent), "posted")
     length = lists.groupBy("key").count().agg(F.avg("count")).first()[0] or 0.0
     light = boundary(counts, percent, length)
     keys = lists.where(F.col("n") >= common(light + 1, percent))
     if light:
         keys = keys.unionByName(sets.where(F.col("n") <= light).select("rep", "n", "s").mapInArrow(_light_keys(percent), "key long, rep long, n long").withColumn("at", F.lit(0).cast("long")))
     keys = work.save(keys, "keys")
-
-    least = keys.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("m"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = keys.join(least, "key").where((F.col("rep") != F.col("m.rep")) & _sizes_fit(F.col("n"), F.col("m.n"), percent))
-    stars = stars.select(F.col("m.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = work.save(_verified(stars, sets, percent), "star-links")
-    found = work.save(connected_components(work, links, "star"), "star-components")
-
-    # lists whose members are not yet in one component: compare across components
-    in_lists = keys.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    open_keys = in_lists.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    words = [F.col("bits")[k].alias(f"w{k}") for k in range(WORDS)]
-    rest = work.save(in_lists.join(open_keys, "key", "left_semi").join(sets.select("rep", *words), "rep"), "open")
-    crowds = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("here")).where(F.col("here") > CROWD).select("key", "component")
-    crowds = work.save(crowds, "crowds")
-    few = rest.join(crowds, ["key", "component"], "left_anti")
-    met = _meet(few, few, F.col("a.component") < F.col("b.component"), percent)
-    if not crowds.isEmpty():
-        many = work.save(rest.join(crowds, ["key", "component"], "left_semi"), "many")
-        several = crowds.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
-        met = met.unionByName(_meet(few, many, F.lit(True), percent))
-        met = met.unionByName(_meet(many.join(several, "key", "left_semi"), many, F.col("a.component") < F.col("b.component"), percent))
-    met = met.distinct()
-    across = met.join(stars, ["a", "b"], "left_anti")
-    links = work.save(links.unionByName(_verified(across, sets, percent)), "links")
-    final = work.save(connected_components(work, links, "all"), "components")
-
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    told = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("n", "d1", "d2", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    work.drop("frequencies", "posted")
+
+    found = work.save(keys.select("rep").distinct().select("rep", F.col("rep").alias("component")), "alone")
+    links, tested, k = None, None, 0
+    while True:
+        in_lists = keys.join(found, "rep")
+        lists = work.save(_open(in_lists), f"open-{k}")
+        size_of = lists.agg(F.sum("size"), F.sum("pairs")).first()
+        if size_of[0] is None:
+            rest = None
+            break
+        if k >= PASSES or (k and size_of[1] <= DENSE * size_of[0]):
+            rest = in_lists
+            break
+        pairs = work.save(_partners(work, keys.join(lists.select("key"), "key", "left_semi"), found, tested, k), f"pairs-{k}")
+        near = work.save(_may_link(pairs, sets, percent), f"near-{k}")
+        new = work.save(_verified(near, sets, percent), f"links-{k}")
+        tested = pairs if tested is None else work.save(tested.unionByName(pairs), f"tested-{k}")
+        if new.isEmpty():
+            rest = in_lists
+            break
+        links = new if links is None else links.unionByName(new)
+        found = _grown(work, found, new, f"pass-{k}")
+        k += 1
+    if rest is not None:
+        words = [F.col("bits")[w].alias(f"w{w}") for w in range(WORDS)]
+        rest = work.save(rest.join(lists.select("key"), "key", "left_semi").join(sets.select("rep", *words), "rep"), "rest")
+        met = _met(work, rest, percent)
+        if tested is not None:
+            met = met.join(tested, ["a", "b"], "left_anti")
+        new = work.save(_verified(work.save(met, "met"), sets, percent), "links-last")
+        links = new if links is None else links.unionByName(new)
+        found = _grown(work, found, new, "last")
+
+    if not several.where("differ").isEmpty():  # a document links by each of its texts
+        ids = several.where("differ").select("id")
+        own = meta.where("n > 0").join(ids, "id", "left_semi").join(classes, ["n", "d1", "d2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        own = work.save(own.where("a <> b").distinct(), "own")
+        every = own.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(found, "rep", "left_anti").select("rep", F.col("rep").alias("component"))
+        found = _grown(work, work.save(found.unionByName(every), "every"), own, "ids")
+    told = classes.select("n", "d1", "d2", "rep").join(found, "rep", "left")
+    if links is not None:
+        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+        told = told.join(degree, "rep", "left")
+    else:
+        told = told.withColumn("links", F.lit(0))
+    told = work.save(told.select("n", "d1", "d2", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("links", F.lit(0)).alias("links")), "told")
     own = meta.join(told, ["n", "d1", "d2"], "left")
     return own.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("set_id"), F.coalesce("component", "id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))

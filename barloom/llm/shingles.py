@@ -1,70 +1,62 @@
-"""Word shingles as sorted arrays of 64-bit hashes, computed with numpy over blocks of text."""
+"""Word shingles as sorted arrays of 64-bit hashes, computed over blocks of text."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Bytes of text hashed at once; the arrays take some thirty times that.
+#: Bytes of text split into words at once.
 BLOCK = 1 << 20
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def _inverse(x: int) -> int:
-    return pow(x, -1, 1 << 64)
+class WordHashes(dict):
+    """The 64-bit XXH3 hash of each word. Words repeat, so hashes are remembered; then forgotten all at once."""
 
+    REMEMBER, LONGEST = 300_000, 64
 
-_UNBASE = _U(_inverse(int(_BASE)))
+    def __init__(self, seed: int = 0):
+        import xxhash
 
+        super().__init__()
+        self.seed, self.hash = seed, xxhash.xxh3_64_intdigest
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
+    def __missing__(self, word: bytes) -> int:
+        found = self.hash(word, self.seed)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.REMEMBER:
+                self.clear()
+            self[word] = found
+        return found
 
-_STEPS = [_powers(_BASE, BLOCK + 1), _powers(_UNBASE, BLOCK + 1)]
+    def of(self, data: bytes) -> np.ndarray:
+        """Hashes of the words of ``data``; words are runs of bytes other than ASCII white space."""
+        parts = []
+        at = 0
+        while at < len(data):
+            end = min(at + BLOCK, len(data))
+            if end < len(data):  # words stay whole
+                blank = _BLANK.search(data, end)
+                end = blank.start() if blank else len(data)
+            words = (data[at:end] if at or end < len(data) else data).split()
+            parts.append(np.fromiter(map(self.__getitem__, words), _U, len(words)))
+            at = end
+        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, _U), *parts])
 
 
-def _steps(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse up to n; longer ones only for words longer than a block."""
-    return _STEPS if n <= BLOCK else [_powers(_BASE, n + 1), _powers(_UNBASE, n + 1)]
+def normal(text: str | None) -> bytes:
+    """UTF-8 with A-Z lower-cased; null is empty."""
+    return (text or "").encode("utf-8", "surrogatepass").lower()
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of each word; words are runs of bytes other than ASCII white space."""
-    hashes, starts, at = [], [], 0
-    while at < len(data):
-        end = min(at + BLOCK, len(data))
-        while end < len(data) and not _SPACE[data[end]]:  # words stay whole
-            end += 1
-        h, s = _block_hashes(np.frombuffer(data, np.uint8, end - at, at))
-        hashes.append(h)
-        starts.append(s + at)
-        at = end
-    return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.zeros(0, _U), np.zeros(0, np.int64))
-
-
-def _block_hashes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    inside = np.empty(len(text) + 2, np.int8)
-    inside[0] = inside[-1] = 0
-    inside[1:-1] = ~_SPACE[text]
-    edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _steps(len(text))
-    total = np.zeros(len(text) + 1, _U)
-    np.cumsum((text.astype(_U) + _U(1)) * up[: len(text)], out=total[1:])
-    return _mixed((total[end] - total[start]) * down[start] + (end - start).astype(_U)), start
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -79,24 +71,8 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def shingle_sets(texts: Iterable[str | None], size: int = 5) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], size: int = 5, known: WordHashes | None = None) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, A-Z lower-cased."""
-    held: list[bytes] = []
-    total = 0
+    known = WordHashes() if known is None else known
     for text in texts:
-        held.append((text or "").encode("utf-8", "surrogatepass").lower())
-        total += len(held[-1])
-        if total >= BLOCK:
-            yield from _sets(held, size)
-            held, total = [], 0
-    yield from _sets(held, size)
-
-
-def _sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
-    if not texts:
-        return
-    words, starts = word_hashes(b"\n".join(texts))
-    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    bounds = np.searchsorted(starts, begin)
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        yield np.unique(shingle_hashes(words[a:b], size))
+        yield np.unique(shingle_hashes(known.of(normal(text)), size))

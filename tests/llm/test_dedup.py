@@ -2,11 +2,12 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import exact_dedup, jaccard_join, line_dedup
 from barloom.llm.common import Scratch
 from barloom.llm.components import connected_components
-from barloom.llm.shingles import BLOCK, shingle_sets, word_hashes
+from barloom.llm.shingles import BLOCK, WordHashes, shingle_sets
 
 UP = {c: c + 32 for c in range(65, 91)}
 
@@ -29,6 +30,24 @@ def test_exact_dedup(spark):
     assert exact_dedup.dedup_exact(spark, docs.limit(0)).count() == 0
 
 
+def test_exact_dedup_sorts_and_merges(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 700).alias("text"))
+    each = exact_dedup.digests(docs, "doc_id", "text", 4)
+    work = Scratch(spark, "test")
+    runs = work.save(exact_dedup.first_runs(each, "doc_id"), "runs")
+    # what is written is sorted: each file by run, then digest
+    at = runs.select(F.input_file_name().alias("file"), "run", "text_sha256").collect()
+    by_file = {}
+    for file, run, digest in at:
+        by_file.setdefault(file, []).append((run, digest))
+    assert all(rows == sorted(set(rows)) for rows in by_file.values())
+    level = exact_dedup.merged(exact_dedup.merged(runs, 2), 2)
+    plan = level._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") >= 2 and plan.count("Sort [run") >= 2 and "HashAggregate" not in plan
+    found = {r["text_sha256"]: (r["run"], r["size"], r["low"], r["high"]) for r in level.collect()}
+    assert found == {hashlib.sha256(f"t{k}".encode()).hexdigest(): (0, len(range(k, 4000, 700)), k, max(range(k, 4000, 700))) for k in range(700)}
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(40)] + [(100 + k, 101 + k) for k in range(30)] + [(200, 300 + k) for k in range(30)]
@@ -82,12 +101,56 @@ def plain_components(sets):
 
 
 def test_word_hashes_do_not_depend_on_place():
-    data = b"one two\x0bthree  one\n" + b"x" * (BLOCK + 10) + b" two"
-    hashes, starts = word_hashes(data)
+    data = b"one two\x0bthree  one\n" + b"x" * (BLOCK + 10) + b" two " + b"y z " * (BLOCK // 2)
+    hashes = WordHashes().of(data)
     words = data.split()
     assert len(hashes) == len(words) and hashes[0] == hashes[3] and hashes[1] == hashes[5]
     assert len({int(h) for h in hashes}) == len(set(words))
-    assert [data[s : s + len(w)] for s, w in zip(starts, words)] == words
+    assert len(WordHashes().of(b"")) == len(WordHashes().of(b" \n ")) == 0
+    few = WordHashes()
+    few.REMEMBER = 2  # forgetting changes nothing
+    assert (few.of(data) == hashes).all() and len(few) <= 3
+
+
+def test_words_of_like_structure_differ(spark):
+    """Thue-Morse words and their mirrors have one polynomial hash modulo a power of two, whatever its base."""
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.link_components(spark, docs).collect()}
+    assert found == {1: 1, 2: 2, 3: 1}
+
+
+def test_near_copies_make_few_edges(spark, monkeypatch):
+    """A group of near copies shares many lists; a pass compares each of its sets with one other."""
+    rnd = random.Random(9)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for k in range(120):
+        copy = list(base)
+        for at in rnd.sample(range(300), 3):
+            copy[at] = f"x{k}-{at}"
+        texts.append((k, " ".join(copy)))
+    made = []
+    partners = jaccard_join._partners
+    monkeypatch.setattr(jaccard_join, "_partners", lambda *x: made.append(partners(*x).count()) or partners(*x))
+    found = jaccard_join.link_components(spark, spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in found} == {0}
+    assert made and max(made) <= 120
+
+
+def test_one_id_with_two_texts_links_by_both(spark):
+    a, b = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
+    docs = spark.createDataFrame([(7, a), (7, b), (3, a), (9, b), (9, b), (5, "else"), (5, None)], "doc_id long, text string")
+    found = sorted(map(tuple, jaccard_join.link_components(spark, docs).select("doc_id", "n_shingles", "component_id").collect()))
+    assert found == [(3, 16, 3), (5, 0, 5), (5, 1, 5), (7, 16, 3), (7, 16, 3), (9, 16, 3), (9, 16, 3)]
+
+
+def test_jaccard_join_of_a_very_long_text(spark):
+    long = " ".join(f"w{k}" for k in range(400_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " tail"), (3, "short")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(spark, docs).collect()}
+    assert found == {1: (399_996, 1), 2: (399_997, 1), 3: (1, 3)}
 
 
 def test_shingle_sets_count_like_plain_ones():
@@ -98,6 +161,7 @@ def test_shingle_sets_count_like_plain_ones():
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_join_equals_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CROWD", 3)  # so that every way of meeting is taken
+    monkeypatch.setattr(jaccard_join, "DENSE", 1e9 if seed == 2 else 0)
     rnd = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(400)]
     texts, at = {}, 0
