@@ -10,12 +10,12 @@ Two sets link when 100 * |A and B| >= percent * |A or B|. Then each shares at le
    to inverted lists. The boundary is the size up to which subsets cost less than lists, from counted sizes.
 3. Links. In a pass each set is compared with one partner from another component, the same one for as many sets as
    possible, so a pass makes no more edges than there are sets, however many lists a group of near copies shares.
-   Components are formed, and the next pass looks only at lists whose members lie in different components. When the
-   pairs left in such lists are few for their members, or a pass finds nothing, they are all compared; so every
+   Components are formed, and the next pass looks only at lists whose members lie in different components. When a
+   pass no longer links a good part of what it compares, all pairs left in such lists are compared; so every
    component comes out exact. Before full sets are fetched, two exact bounds drop pairs: a shared shingle's ranks in
    both sets bound the overlap from above, and so do the bits in which the parities of both sets' shingles differ.
 
-Shingles are hashes of XXH3 word hashes, 64 bits; small sets, of which many may exist, are compared by a second
+Shingles are 64-bit hashes of 64-bit word hashes; small sets, of which many may exist, are compared by a second
 64 bits too. Equal sets are one class, represented by the smallest id.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .common import Scratch, chunks_of, maybe_broadcast, rows_of
 from .components import connected_components
-from .shingles import WordHashes, shingle_sets
+from .shingles import shingle_sets
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Text characters whose blobs are built at once, and text characters whose shingles one hash range holds, about.
@@ -43,8 +43,8 @@ MAX_LIGHT = 14
 WORDS = 16
 #: Members of one component in one list beyond which they are not joined among themselves.
 CROWD = 512
-#: Pairs for each member of open lists beyond which another pass is made first; passes at most.
-DENSE, PASSES = 4, 12
+#: Part of a pass's pairs that must link for another pass to be worth it.
+WORTH = 0.25
 
 
 def common(n, percent: int):
@@ -80,15 +80,12 @@ def _unplanes(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
 
 
-class _Sets:
-    """Shingle sets of texts; for small ones also their second hashes."""
-
-    def __init__(self, size: int):
-        self.size, self.first, self.second = size, WordHashes(), WordHashes(seed=1)
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray | None]:
-        (s,) = shingle_sets((text,), self.size, self.first)
-        return s, next(shingle_sets((text,), self.size, self.second)) if len(s) <= MAX_LIGHT else None
+def _both_sets(texts: list[str | None], size: int) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """The shingle set of each text, and for small ones also their second hashes."""
+    first = list(shingle_sets(texts, size))
+    small = [k for k, s in enumerate(first) if 0 < len(s) <= MAX_LIGHT]
+    second = dict(zip(small, shingle_sets((texts[k] for k in small), size, seed=1), strict=True))
+    return [(s, second.get(k)) for k, s in enumerate(first)]
 
 
 def _digest(s: np.ndarray, t: np.ndarray | None) -> tuple[int, int]:
@@ -110,13 +107,11 @@ def _gather(bucket_bits: int, size: int, percent: int):
         names = [x.split()[0] for x in META.split(", ")]
         kinds = [pa.int64()] * 6 + [pa.int32()] + [pa.binary()] * 3
         told = lambda columns: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
-        sets_of = _Sets(size)
         rows = (row for batch in batches for row in rows_of(batch, "id", "text"))
         for held in chunks_of(rows, GATHER, lambda r: len(r[1] or "")):
             ids = np.array([r[0] for r in held], np.int64)
             meta, hashes, owner = [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
-            for k, (_, text) in enumerate(held):
-                s, t = sets_of(text)
+            for k, (s, t) in enumerate(_both_sets([r[1] for r in held], size)):
                 meta.append((len(s), *_digest(s, t)))
                 take = int(prefix(len(s), percent)) if len(s) else 0
                 hashes.append(s[:take])
@@ -174,12 +169,11 @@ def _sets_of(size: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        sets_of = _Sets(size)
         longs = pa.list_(pa.int64())
         for batch in batches:
             rows = list(rows_of(batch, "id", "text"))
             for held in chunks_of(rows, GATHER, lambda r: len(r[1] or "")):
-                both = [sets_of(r[1]) for r in held]
+                both = _both_sets([r[1] for r in held], size)
                 offsets = np.cumsum([0, *(len(s) for s, _ in both)]).astype(np.int32)
                 values = np.concatenate([s for s, _ in both]).view(np.int64)
                 second = pa.array([None if t is None else t.view(np.int64) for _, t in both], longs)
@@ -225,7 +219,8 @@ def _light_keys(percent: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of candidate pairs (a, b), those whose full sets link; both sides come by equi-joins."""
+    """Of candidate pairs (a, b), those whose full sets link; both sides come by equi-joins, only sets in pairs move."""
+    sets = sets.join(maybe_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "rep", "left_semi")
     left = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"), F.col("t").alias("ta"))
     right = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"), F.col("t").alias("tb"))
 
@@ -368,24 +363,21 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     work.drop("frequencies", "posted")
 
     found = work.save(keys.select("rep").distinct().select("rep", F.col("rep").alias("component")), "alone")
-    links, tested, k = None, None, 0
+    links, tested, paying, k = None, None, True, 0
     while True:
         in_lists = keys.join(found, "rep")
         lists = work.save(_open(in_lists), f"open-{k}")
-        size_of = lists.agg(F.sum("size"), F.sum("pairs")).first()
-        if size_of[0] is None:
+        if lists.isEmpty():
             rest = None
             break
-        if k >= PASSES or (k and size_of[1] <= DENSE * size_of[0]):
+        if not paying:
             rest = in_lists
             break
         pairs = work.save(_partners(work, keys.join(lists.select("key"), "key", "left_semi"), found, tested, k), f"pairs-{k}")
         near = work.save(_may_link(pairs, sets, percent), f"near-{k}")
         new = work.save(_verified(near, sets, percent), f"links-{k}")
         tested = pairs if tested is None else work.save(tested.unionByName(pairs), f"tested-{k}")
-        if new.isEmpty():
-            rest = in_lists
-            break
+        paying = new.count() > WORTH * pairs.count()
         links = new if links is None else links.unionByName(new)
         found = _grown(work, found, new, f"pass-{k}")
         k += 1

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, chunks_of, rows_of, text_batches
-from .shingles import WordHashes, normal
+from .shingles import words_of_each
 
 #: Part of all tokens that the sample is to hold.
 BUDGET = 0.5
@@ -29,20 +29,19 @@ GRID = 1 << 20
 GATHER = 8 << 20
 
 
-def profiles(texts: list[str | None], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def profiles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(number of words, unit profile of hashed words) of each text; no words, no profile."""
-    n, counts = word_profile(texts, known)
+    n, counts = word_profile(texts)
     return n, unit_profiles(counts)
 
 
-def word_profile(texts: list[str | None], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def word_profile(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(number of words, how many of them fall to each of PROFILE hashes) of each text."""
-    n, counts = np.zeros(len(texts), np.int64), np.zeros((len(texts), PROFILE), np.int64)
-    for k, text in enumerate(texts):
-        words = known.of(normal(text))
-        n[k] = len(words)
-        counts[k] = np.bincount((words >> np.uint64(56)).astype(np.int64), minlength=PROFILE)
-    return n, counts
+    hashes = list(words_of_each(texts))
+    n = np.array([len(h) for h in hashes], np.int64)
+    owner = np.repeat(np.arange(len(hashes)), n)
+    part = (np.concatenate([np.zeros(0, np.uint64), *hashes]) >> np.uint64(56)).astype(np.int64)
+    return n, np.bincount(owner * PROFILE + part, minlength=len(hashes) * PROFILE).reshape(len(hashes), PROFILE)
 
 
 def unit_profiles(counts: np.ndarray) -> np.ndarray:
@@ -65,10 +64,9 @@ def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = Scratch(spark, "topics")
 
     def count(batches):
-        known = WordHashes()
         for batch in batches:
             for held in chunks_of(rows_of(batch, "text"), GATHER, lambda r: len(r[0] or "")):
-                n, counts = word_profile([r[0] for r in held], known)
+                n, counts = word_profile([r[0] for r in held])
                 counts = counts.astype("<u4")[n > 0]
                 yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in counts], pa.binary())], ["counts"])
 
@@ -144,11 +142,10 @@ def describe(docs: DataFrame, centres: np.ndarray, id_col: str = "doc_id", text_
     def run(batches):
         import pyarrow as pa
 
-        known = WordHashes()
         for batch in batches:
             at = 0
             for held in chunks_of(rows_of(batch, text_col), GATHER, lambda r: len(r[0] or "")):
-                n, x = profiles([r[0] for r in held], known)
+                n, x = profiles([r[0] for r in held])
                 near = np.where(n > 0, (x @ centres.T).argmax(1), 0)
                 part = batch.slice(at, len(held))
                 at += len(held)
