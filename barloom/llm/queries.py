@@ -48,7 +48,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(toxicity.may_learn(F.col("doc_id"))))
-    return toxicity.score(docs, model).select("doc_id", (~toxicity.may_learn(F.col("doc_id"))).alias("held_out"), "score", "predicted", "evidence")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(~toxicity.may_learn(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted", "evidence")
 
 
 @query

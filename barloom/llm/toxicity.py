@@ -1,12 +1,13 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are words and word beginnings of four and five letters. A bounded sample of labelled documents gives the
-vocabulary (terms that go with the label, by chi-square and frequency) and the examples. How many documents hold a term, for IDF,
-is counted over the whole corpus. The examples go to a block-max inverted index: postings by term, cut into blocks
-of example numbers, with each block's largest weight by term. A document's weights times these give every block's
-bound; blocks are scored in falling order of bound until none can reach the k-th best cosine, so the k nearest
-examples are exact. They vote with their cosine as weight; isotonic regression on votes that leave the example itself
-out turns a vote into a probability.
+A bounded sample of labelled documents gives the examples; all their words are terms. How many documents hold a term,
+for IDF, is counted over the whole corpus. A term's IDF is multiplied by its relevance: 1 less the share of its
+chi-square with the label that chance explains, at least FLOOR; so words that go with a label (toxic or clean) weigh
+most, and all others still count. The examples' unit vectors go to a block-max inverted index: postings by term, in
+blocks of example numbers, with the largest weight of a term in each block that holds it. A document's weights times
+these give every block's bound; blocks are scored in falling order of bound until none can reach the k-th best cosine,
+so the k nearest examples are exact. They vote with their cosine as weight; isotonic regression on votes that leave
+the example itself out turns a vote into a probability.
 """
 
 from __future__ import annotations
@@ -20,28 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import rows_of, text_batches
+from .common import Scratch, rows_of, text_batches
 
-#: Labelled documents learned from: of each label those with the least hashed ids. Terms of the vocabulary. Neighbours that vote.
-EXAMPLES, TERMS, NEIGHBOURS = 12_000, 4096, 25
-#: Chi-square of a term, and how many times as often toxic examples must hold it as others.
-LEAST_CHI, LIFT = 20.0, 3.0
+#: Labelled documents learned from, the only bound on what is learned: of each label those with the least hashed ids. Neighbours that vote.
+EXAMPLES, NEIGHBOURS = 4000, 25
+#: Chi-square that chance explains. Relevance of a term that goes with no label.
+CHANCE, FLOOR = 15.0, 0.05
 #: Examples in a block. Weight of the prior in a vote.
 BLOCK, PRIOR_WEIGHT = 128, 0.25
-#: A term needs so many examples; with few toxic ones a tenth of them, two at least.
-LEAST_EXAMPLES = 5
 #: Each label gets this part of the examples at least, if it has as many rows.
 LEAST_PART = 0.1
 THRESHOLD = 0.7
-BEGINNINGS = (4, 5)
 _WORDS = re.compile(r"\w+").findall
 
 
-def terms_of(word: str) -> list[str]:
-    """The word and its beginnings; a star marks a beginning."""
-    return [word, *(word[:size] + "*" for size in BEGINNINGS if len(word) >= size)]
-
-
 def word_counts(text: str | None) -> Counter:
     return Counter(_WORDS((text or "").lower()))
 
@@ -49,47 +42,23 @@ def word_counts(text: str | None) -> Counter:
 class Vocabulary(dict):
     """Number of each term; counts those of a text."""
 
-    #: Words whose terms are remembered; then forgotten all at once.
-    REMEMBER = 100_000
-
     def __init__(self, terms=()):
         super().__init__((t, i) for i, t in enumerate(terms))
-        self.seen: dict[str, tuple[int, ...]] = {}
 
     def __reduce__(self):
         return Vocabulary, (list(self),)
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        """How often each term occurs in the whole text."""
-        found: dict[int, int] = {}
-        seen = self.seen
+    def counts(self, text: str | None) -> tuple[list[int], list[int], list[int]]:
+        """(terms, how often each occurs in the whole text, how often each word that is no term does)."""
+        terms, counts, others = [], [], []
         for word, n in word_counts(text).items():
-            numbers = seen.get(word)
-            if numbers is None:
-                if len(seen) > self.REMEMBER:
-                    seen.clear()
-                numbers = seen[word] = tuple(self[t] for t in terms_of(word) if t in self)
-            for k in numbers:
-                found[k] = found.get(k, 0) + n
-        return found
-
-
-def _counted(wanted: Vocabulary):
-    """Sparse vectors of raw counts over the vocabulary."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            ids, terms, counts = [], [], []
-            for key, text in rows_of(batch, "id", "text"):
-                found = wanted.counts(text)
-                ids.append(key)
-                terms.append(list(found))
-                counts.append(list(found.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["id", "terms", "counts"])
-
-    return run
+            k = self.get(word)
+            if k is None:
+                others.append(n)
+            else:
+                terms.append(k)
+                counts.append(n)
+        return terms, counts, others
 
 
 def _listed(batches):
@@ -99,33 +68,28 @@ def _listed(batches):
     held: tuple[Counter, Counter] = Counter(), Counter()
     for batch in batches:
         for toxic, text in rows_of(batch, "toxic", "text"):
-            held[toxic > 0].update({t for word in word_counts(text) for t in terms_of(word)})
+            held[toxic > 0].update(set(_WORDS((text or "").lower())))
     terms = list(held[0] | held[1])
     yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([held[1][t] for t in terms], pa.int64()), pa.array([held[0][t] for t in terms], pa.int64())], ["term", "a", "b"])
 
 
-def _holding(wanted: Vocabulary):
+def _holding(shared):
     """(term, documents that hold it) for the documents of a task; -1 counts them all."""
 
     def run(batches):
         import pyarrow as pa
 
-        total, n = [0] * len(wanted), 0
+        wanted = shared.value
+        total, n = Counter(), 0
         for batch in batches:
             for (text,) in rows_of(batch, "text"):
                 n += 1
-                for term in wanted.counts(text):
-                    total[term] += 1
-        at = [k for k, v in enumerate(total) if v]
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([n, *(total[k] for k in at)], pa.int64())], ["term", "n"])
+                total.update(wanted.keys() & set(_WORDS((text or "").lower())))
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *map(wanted.__getitem__, total)], pa.int32()), pa.array([n, *total.values()], pa.int64())], ["term", "n"])
 
     return run
 
 
-def least_examples(positives: int) -> int:
-    return max(2, min(LEAST_EXAMPLES, positives // 10))
-
-
 def shares(positives: int, negatives: int, examples: int) -> tuple[int, int]:
     """How many examples of either label are drawn: in proportion, but LEAST_PART of the rarer at least."""
     if positives + negatives <= examples:
@@ -137,87 +101,99 @@ def shares(positives: int, negatives: int, examples: int) -> tuple[int, int]:
     return drawn, min(negatives, examples - drawn)
 
 
-def choose_terms(sample: DataFrame, positives: int, negatives: int, terms: int = TERMS) -> list[str]:
-    """The terms of greatest chi-square with the label, those that enough examples hold."""
-    if not positives or not negatives:
-        return []
-    held = sample.mapInArrow(_listed, "term string, a long, b long").groupBy("term").agg(F.sum("a").cast("double").alias("a"), F.sum("b").cast("double").alias("b"))
-    p, q = F.lit(float(positives)), F.lit(float(negatives))
-    diff = F.col("a") * (q - F.col("b")) - F.col("b") * (p - F.col("a"))
-    below = (F.col("a") + F.col("b")) * (p + q - F.col("a") - F.col("b")) * p * q
-    scored = held.where(F.col("a") + F.col("b") >= least_examples(positives)).withColumn("chi", F.try_divide(diff * diff * (p + q), below))
-    # telling terms only: weak ones, as long texts hold, would drown them and make every document near every other
-    rate, other = (F.col("a") + 0.5) / (p + 1), (F.col("b") + 0.5) / (q + 1)
-    scored = scored.where((F.col("chi") > LEAST_CHI) & (rate > LIFT * other))
-    return [r["term"] for r in scored.orderBy(F.desc("chi"), "term").limit(terms).collect()]
+def relevance(a: np.ndarray, b: np.ndarray, positives: int, negatives: int) -> np.ndarray:
+    """FLOOR to 1 for terms that ``a`` of the positive and ``b`` of the negative examples hold."""
+    p, q = float(positives), float(negatives)
+    diff = a * (q - b) - b * (p - a)
+    below = (a + b) * (p + q - a - b) * p * q
+    chi = np.divide(diff * diff * (p + q), below, out=np.zeros(len(a)), where=below > 0)
+    return FLOOR + (1 - FLOOR) * np.maximum(0.0, 1 - np.divide(CHANCE, chi, out=np.full(len(a), np.inf), where=chi > 0))
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers begin[i] .. begin[i] + size[i] - 1, for one i after another."""
+    before = np.cumsum(size) - size
+    return np.arange(size.sum()) + np.repeat(begin - before, size)
 
 
 @dataclass
 class Neighbours:
     """Block-max inverted index of the examples' unit vectors."""
 
-    idf: np.ndarray
+    weight_of: np.ndarray  # of terms: IDF times relevance
+    unknown: float  # of a word that is no term
     labels: np.ndarray
+    first: np.ndarray  # [term]: where its blocks begin
+    block: np.ndarray  # of (term, block): number
+    most: np.ndarray  # of (term, block): largest weight
+    begin: np.ndarray  # of (term, block): where its postings begin
     examples: np.ndarray  # of postings, by term, then example
     weights: np.ndarray
-    first: np.ndarray  # [term, block]: where the term's postings in the block begin
-    most: np.ndarray  # [term, block]: largest weight there
     prior: float
     lift: tuple[float, float] = (1.0, 1.0)  # labelled rows that an example of label 0, of label 1 stands for
     knots: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
 
     @classmethod
-    def build(cls, vectors: list[tuple[list[int], list[int]]], labels: list[int], idf: np.ndarray, prior: float, lift: tuple[float, float] = (1.0, 1.0)) -> Neighbours:
-        blocks = max(1, -(-len(vectors) // BLOCK))
+    def build(cls, vectors: list[tuple[list[int], list[int]]], labels: list[int], weight_of: np.ndarray, unknown: float, prior: float, lift: tuple[float, float] = (1.0, 1.0)) -> Neighbours:
         term, example, weight = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for k, (terms, counts) in enumerate(vectors):
-            t = np.array(terms, np.int64)
-            term.append(t)
-            example.append(np.full(len(t), k))
-            weight.append(unit(t, counts, idf))
+            term.append(np.array(terms, np.int64))
+            example.append(np.full(len(terms), k))
+            weight.append(unit(term[-1], counts, weight_of))
         term, example, weight = map(np.concatenate, (term, example, weight))
         order = np.lexsort((example, term))
         term, example, weight = term[order], example[order], weight[order]
+        blocks = max(1, -(-len(vectors) // BLOCK))
         place = term * blocks + example // BLOCK
-        first = np.searchsorted(place, np.arange(len(idf) * blocks + 1))
-        most = np.zeros(len(idf) * blocks)
-        np.maximum.at(most, place, weight)
-        return cls(idf, np.array(labels, float), example, weight, first, most.reshape(len(idf), blocks), prior, lift)
+        begin = np.flatnonzero(np.diff(place, prepend=-1))
+        place = place[begin]
+        most = np.maximum.reduceat(weight, begin) if len(begin) else np.zeros(0)
+        first = np.searchsorted(place // blocks, np.arange(len(weight_of) + 1))
+        return cls(weight_of, unknown, np.array(labels, float), first, (place % blocks).astype(np.int32), most, np.append(begin, len(term)), example.astype(np.int32), weight, prior, lift)
 
-    def nearest(self, terms, counts, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine above 0, ties to the smaller number."""
+    def nearest(self, terms, counts, others=(), k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest with a cosine above 0, ties to the smaller number.
+
+        Words that are no term (``others``: their counts) count in the document's length only.
+        """
         t = np.asarray(terms, np.int64)
-        none = np.zeros(0, np.int64), np.zeros(0)
         if not len(t):
-            return none
-        q = unit(t, counts, self.idf)
-        bound = q @ self.most[t]
-        blocks, ids, cosines, least = self.most.shape[1], *none, 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-12:
-                break
-            begin, end = self.first[t * blocks + b], self.first[t * blocks + b + 1]
-            spans = [(i, j) for i, j in zip(begin.tolist(), end.tolist(), strict=True) if i < j]
-            found = np.concatenate([self.examples[i:j] for i, j in spans])
-            score = np.bincount(found - b * BLOCK, np.repeat(q, end - begin) * np.concatenate([self.weights[i:j] for i, j in spans]), BLOCK)
-            hit = np.flatnonzero(score > 0)
-            hit = hit[hit + b * BLOCK != without]
-            ids, cosines = np.concatenate([ids, hit + b * BLOCK]), np.concatenate([cosines, score[hit]])
-            if len(ids) > k:
-                best = np.lexsort((ids, -np.round(cosines, 12)))[:k]
-                ids, cosines = ids[best], cosines[best]
-            if len(ids) == k:
-                least = cosines.min()
-        best = np.lexsort((ids, -np.round(cosines, 12)))
-        return ids[best], np.minimum(cosines[best], 1.0)
+            return np.zeros(0, np.int64), np.zeros(0)
+        q = unit(t, counts, self.weight_of, others, self.unknown)
+        size = self.first[t + 1] - self.first[t]
+        entry, weight = _spread(self.first[t], size), np.repeat(q, size)
+        block = self.block[entry]
+        bound = np.bincount(block, weight * self.most[entry])
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        score, done, step, least = np.zeros(len(self.labels)), 0, 1, 0.0
+        hit = np.zeros(0, np.int64)
+        while done < len(order) and bound[order[done]] >= least - 1e-12:
+            # the next few blocks, twice as many each time
+            taken = np.zeros(len(bound), bool)
+            taken[order[done : done + step]] = True
+            mine = np.flatnonzero(taken[block])
+            e = entry[mine]
+            length = self.begin[e + 1] - self.begin[e]
+            at = _spread(self.begin[e], length)
+            score += np.bincount(self.examples[at], np.repeat(weight[mine], length) * self.weights[at], len(score))
+            done, step = done + step, 2 * step
+            if without >= 0:
+                score[without] = 0
+            hit = np.flatnonzero(score)
+            if len(hit) >= k:
+                least = np.partition(score[hit], len(hit) - k)[len(hit) - k]
+        if len(hit) > k:
+            hit = hit[score[hit] >= least - 1e-11]
+        best = hit[np.lexsort((hit, -np.round(score[hit], 12)))[:k]]
+        return best, np.minimum(score[best], 1.0)
 
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
-        w = cosines**2 * np.where(self.labels[ids] > 0, self.lift[1], self.lift[0])
+        w = cosines * np.where(self.labels[ids] > 0, self.lift[1], self.lift[0])
         return float((w @ self.labels[ids] + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT))
 
-    def calibrate(self, vectors, k: int) -> None:
-        """Isotonic regression of labels on votes without the example itself, by pooling adjacent violators."""
-        votes = np.array([self.vote(*self.nearest(t, c, k, without=i)) for i, (t, c) in enumerate(vectors)])
+    def calibrate(self, votes: np.ndarray) -> None:
+        """Isotonic regression of labels on the examples' votes without themselves, by pooling adjacent violators."""
         pools: list[list[float]] = []  # vote sum, label sum, size
         for v, y in sorted(zip(votes.tolist(), self.labels.tolist(), strict=True)):
             n = self.lift[int(y > 0)]
@@ -228,20 +204,25 @@ class Neighbours:
         self.knots = np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
     def score(self, vote: float) -> float:
-        """The calibrated probability; a hundredth of the vote keeps apart what calibration makes equal."""
-        fitted = float(np.interp(vote, *self.knots)) if len(self.knots[0]) else vote
-        return min(1.0, max(0.0, 0.99 * fitted + 0.01 * vote))
+        """The calibrated probability: between the means of two pools it rises in a line."""
+        return float(np.interp(vote, *self.knots)) if len(self.knots[0]) else vote
 
 
-def unit(terms: np.ndarray, counts, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(np.asarray(counts, float))) * idf[terms]
-    norm = np.sqrt((w**2).sum())
-    return w / norm if norm else w
+def unit(terms: np.ndarray, counts, weight_of: np.ndarray, others=(), unknown: float = 0.0) -> np.ndarray:
+    w = (1 + np.log(np.asarray(counts, float))) * weight_of[terms]
+    length = (w**2).sum()
+    if len(others):
+        length += (((1 + np.log(np.asarray(others, float))) * unknown) ** 2).sum()
+    return w / np.sqrt(length) if length else w
 
 
-def _leading(terms, counts, idf: np.ndarray) -> int:
-    """The term of greatest weight; vectors without one come last."""
-    return terms[int(np.argmax((1 + np.log(counts)) * idf[terms]))] if terms else len(idf)
+def _company(terms: list[int], telling: np.ndarray, holders: np.ndarray) -> tuple[int, int]:
+    """Examples in this order stand near their like: by their most telling term, then by their most common one."""
+    t = np.asarray(terms, np.int64)
+    if not len(t):
+        return -1, -1
+    best = int(t[np.argmax(telling[t])])
+    return best if telling[best] > 2 * FLOOR else -1, int(t[np.argmax(holders[t])])
 
 
 @dataclass
@@ -251,13 +232,16 @@ class Model:
     index: Neighbours
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, terms: int = TERMS, neighbours: int = NEIGHBOURS, corpus: DataFrame | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> Model:
     """Learns from the rows of ``labels``; pass only those that may be learned from.
 
-    The driver gets at most ``examples`` sparse vectors and ``terms`` counts. Null labels are left out; of an id
-    with several labels the largest counts. Without labels of both kinds every score is the prior.
+    The driver gets the words of at most ``examples`` texts. Null labels and ids are left out; of an id with several
+    labels the largest counts, of one with several texts the least. Without labels of both kinds, or in an empty
+    table, every score is the prior.
     """
-    text_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    text_batches(spark)
+    work = Scratch(spark, "toxicity")
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     # labels without a document teach nothing: they are neither drawn nor counted
@@ -266,34 +250,66 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = shares(sizes.get(True, 0), sizes.get(False, 0), examples)
     nearest = lambda toxic, n: known.where((F.col("toxic") > 0) == toxic).orderBy(F.xxhash64("id"), "id").limit(n).collect()
     picked = nearest(True, drawn[0]) + nearest(False, drawn[1])
-    spark = docs.sparkSession
-    sample = spark.createDataFrame([(r["id"], r["toxic"]) for r in picked], T.StructType([slim.schema["id"], T.StructField("toxic", T.IntegerType())]))
-    sample = slim.join(F.broadcast(sample), "id").dropDuplicates(["id"])  # bounded by ``examples``
+    chosen = spark.createDataFrame([(r["id"], r["toxic"]) for r in picked], T.StructType([slim.schema["id"], T.StructField("toxic", T.IntegerType())]))
+    # bounded by ``examples``
+    sample = work.save(slim.join(F.broadcast(chosen), "id").groupBy("id", "toxic").agg(F.min("text").alias("text")), "sample")
     toxic = {r["id"]: int(r["toxic"] > 0) for r in picked}
-    positives = sum(toxic.values())
+    positives, negatives = sum(toxic.values()), len(toxic) - sum(toxic.values())
     prior = (sizes.get(True, 0) + 1) / (sum(sizes.values()) + 2)
     # a label drawn beyond its share counts less in votes and calibration; relative to the mean, 1 in proportion
     mean = sum(sizes.values()) / max(1, len(toxic))
     lift = tuple(sizes.get(t, 0) / n / mean if n else 1.0 for t, n in ((False, drawn[1]), (True, drawn[0])))
-    wanted = Vocabulary(choose_terms(sample.select("toxic", "text"), positives, len(toxic) - positives, terms))
-    held = dict(slim.select("text").mapInArrow(_holding(wanted), "term int, n long").groupBy("term").agg(F.sum("n")).collect()) if wanted else {}
-    total = held.get(-1, 0)
-    idf = np.log((1 + total) / (1 + np.array([held.get(i, 0) for i in range(len(wanted))], float))) + 1
-    # examples without a term have no postings, but calibration must see them
-    rows = sorted(sample.select("id", "text").mapInArrow(_counted(wanted), T.StructType([slim.schema["id"], T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])).collect())
-    # examples led by the same term stand together, so that few blocks have large bounds for a document
-    rows = sorted(rows, key=lambda r: _leading(r["terms"], r["counts"], idf))
-    vectors = [(r["terms"], r["counts"]) for r in rows]
-    index = Neighbours.build(vectors, [toxic[r["id"]] for r in rows], idf, prior, lift)
-    index.calibrate(vectors, neighbours)
-    return Model(wanted, [r["id"] for r in rows], index)
+
+    terms = sample.select("toxic", "text").mapInArrow(_listed, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).orderBy("term").toPandas() if positives and negatives else None
+    if terms is None or terms.empty:
+        return Model(Vocabulary(), [], Neighbours.build([], [], np.zeros(0), 0.0, prior))
+    wanted = Vocabulary(terms["term"].tolist())
+    a, b = terms["a"].to_numpy(float), terms["b"].to_numpy(float)
+    shared = spark.sparkContext.broadcast(wanted)
+    held = slim.select("text").mapInArrow(_holding(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    count = np.zeros(len(wanted) + 1)  # the last one: all documents
+    count[held["term"].to_numpy()] = held["n"].to_numpy()
+    idf = np.log((1 + count[-1]) / (1 + count[:-1])) + 1
+    telling = relevance(a, b, positives, negatives)
+
+    rows = [(r["id"], *wanted.counts(r["text"])[:2]) for r in sample.select("id", "text").toLocalIterator()]
+    rows = sorted(rows, key=lambda r: (_company(r[1], telling, a + b), r[0]))
+    vectors = [r[1:] for r in rows]
+    index = Neighbours.build(vectors, [toxic[r[0]] for r in rows], idf * telling, float(np.log(1 + count[-1]) + 1) * FLOOR, prior, lift)
+    model = Model(wanted, [r[0] for r in rows], index)
+
+    number = {key: k for k, key in enumerate(model.ids)}
+    whole = spark.sparkContext.broadcast((model, number))
+
+    def left_out(batches):
+        import pyarrow as pa
+
+        m, numbers = whole.value
+        for batch in batches:
+            at = [numbers[key] for key in batch.column(0).to_pylist()]
+            votes = [m.index.vote(*m.index.nearest(*m.wanted.counts(text), neighbours, without=k)) for k, (text,) in zip(at, rows_of(batch, "text"), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(votes, pa.float64())], ["k", "vote"])
+
+    spread = sample.select("id", "text").repartition(4 * spark.sparkContext.defaultParallelism, "id")
+    found = dict(spread.mapInArrow(left_out, "k int, vote double").collect())
+    index.calibrate(np.array([found[k] for k in range(len(rows))]))
+    shared.unpersist()
+    whole.unpersist()
+    work.drop("sample")
+    return model
+
+
+def _scored(m: Model, text: str | None, neighbours: int) -> tuple[float, np.ndarray]:
+    near, cosines = m.index.nearest(*m.wanted.counts(text), neighbours)
+    return m.index.score(m.index.vote(near, cosines)), near
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD, evidence: int = 3) -> DataFrame:
     """One row for each row of docs: id, score, predicted, evidence (ids of its nearest examples, nearest first).
 
-    A null or empty text holds no term and scores what texts without evidence do. Shuffles nothing; the model,
-    bounded by its parameters, travels with the tasks. Repeated rows repeat their result; other columns are not read.
+    A null or empty text holds no term and scores what texts without evidence do. Texts are read whole. Shuffles
+    nothing; the model, bounded by its parameters, travels with the tasks. Repeated rows, and rows of one id with
+    different texts, get each its own result; other columns are not read.
     """
     text_batches(docs.sparkSession)
     import pyarrow as pa
@@ -306,10 +322,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         m = shared.value
         for batch in batches:
             scores, near = [], []
-            for _, text in rows_of(batch, id_col, text_col):
-                found = m.wanted.counts(text)
-                ids, cosines = m.index.nearest(list(found), list(found.values()), neighbours)
-                scores.append(m.index.score(m.index.vote(ids, cosines)))
+            for (text,) in rows_of(batch, text_col):
+                found, ids = _scored(m, text, neighbours)
+                scores.append(found)
                 near.append([m.ids[i] for i in ids[:evidence]])
             kind = batch.schema.field(0).type
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(near, pa.list_(kind))], [id_col, "score", "predicted", "evidence"])
@@ -327,12 +342,7 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", neighbours: int
     def run(batches):
         m = shared.value
         for batch in batches:
-            stays = []
-            for (text,) in rows_of(batch, text_col):
-                found = m.wanted.counts(text)
-                near = m.index.nearest(list(found), list(found.values()), neighbours)
-                stays.append(m.index.score(m.index.vote(*near)) < threshold)
-            yield batch.filter(pa.array(stays, pa.bool_()))
+            yield batch.filter(pa.array([_scored(m, text, neighbours)[0] < threshold for (text,) in rows_of(batch, text_col)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

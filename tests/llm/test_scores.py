@@ -1,5 +1,8 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -29,18 +32,82 @@ def test_nearest_examples_equal_brute_force():
     for _ in range(700):
         terms = rnd.choice(40, rnd.integers(1, 7), replace=False)
         vectors.append((terms.tolist(), rnd.integers(1, 4, len(terms)).tolist()))
-    idf = rnd.uniform(1, 5, 40)
-    index = toxicity.Neighbours.build(vectors, rnd.integers(0, 2, 700).tolist(), idf, 0.3)
+    weight_of = rnd.uniform(1, 5, 40)
+    index = toxicity.Neighbours.build(vectors, rnd.integers(0, 2, 700).tolist(), weight_of, 2.0, 0.3)
     dense = np.zeros((700, 40))
     for k, (t, c) in enumerate(vectors):
-        dense[k, t] = toxicity.unit(np.array(t), c, idf)
+        dense[k, t] = toxicity.unit(np.array(t), c, weight_of)
     for k in range(60):
         cosine = dense @ dense[k]
         cosine[k] = -1
         order = np.lexsort((np.arange(700), -np.round(cosine, 12)))[:10]
-        ids, cosines = index.nearest(*vectors[k], 10, without=k)
+        ids, cosines = index.nearest(*vectors[k], k=10, without=k)
         assert np.allclose(cosines, cosine[order]) and ids.tolist() == order.tolist()
-    assert len(index.nearest([], [], 5)[0]) == 0
+        # words that are no terms make the document longer
+        assert index.nearest(*vectors[k], [1] * 50, 10)[1][0] < 1
+    assert len(index.nearest([], [])[0]) == 0
+
+
+def test_scores_equal_a_dense_brute_force(spark):
+    """Every step again with dense arrays: all words of all examples, IDF over all documents, votes, calibration."""
+    rows = labelled(160, 3)
+    rows += [(500, "idiot " + " ".join(f"long{k}" for k in range(30_000)), 0), (501, "idiot", 1), (502, "", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(9000, None), (9001, "nothing known"), (9002, "scum")], "doc_id long, text string")
+    taught = [r for r in rows if r[0] % 2 == 0]
+    model = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in taught], "doc_id long, toxic int"), neighbours=7)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    words = lambda t: re.findall(r"\w+", (t or "").lower())
+    y = {i: v for i, _, v in taught}
+    terms = sorted({w for i in y for w in words(texts[i])})
+    at = {w: k for k, w in enumerate(terms)}
+    held_by = lambda ids: Counter(w for i in ids for w in set(words(texts[i])))
+    holds, bad, good = held_by(texts), held_by(i for i in y if y[i]), held_by(i for i in y if not y[i])
+    p, n = sum(y.values()), len(y)
+    weight = []
+    for w in terms:
+        a, b = bad[w], good[w]
+        table = np.array([[a, p - a], [b, n - p - b]], float)
+        expected = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / n
+        chi = ((table - expected) ** 2 / np.where(expected, expected, 1)).sum()
+        weight.append((math.log((1 + len(texts)) / (1 + holds[w])) + 1) * (0.05 + 0.95 * max(0, 1 - 15 / chi if chi else 0)))
+    weight = np.array(weight)
+
+    def vector(text):
+        v, rest = np.zeros(len(terms)), 0.0
+        for w, c in Counter(words(text)).items():
+            if w in at:
+                v[at[w]] = (1 + math.log(c)) * weight[at[w]]
+            else:
+                rest += ((1 + math.log(c)) * 0.05 * (math.log(1 + len(texts)) + 1)) ** 2
+        size = math.sqrt((v**2).sum() + rest)
+        return v / size if size else v
+
+    examples = np.array([vector(texts[i]) for i in model.ids])
+    labels = np.array([y[i] for i in model.ids], float)
+
+    def vote(text, without=None):
+        cosine = examples @ vector(text)
+        if without is not None:
+            cosine[without] = 0
+        near = [k for k in np.lexsort((np.arange(len(cosine)), -np.round(cosine, 12)))[:7] if cosine[k] > 0]
+        return (cosine[near] @ labels[near] + 0.25 * (p + 1) / (n + 2)) / (cosine[near].sum() + 0.25)
+
+    votes = np.array([vote(texts[i], k) for k, i in enumerate(model.ids)])
+    order = np.lexsort((labels, votes))
+    fitted = [[votes[k], labels[k], 1] for k in order]
+    k = 0
+    while k + 1 < len(fitted):  # pool until the label means rise strictly
+        u, v = fitted[k], fitted[k + 1]
+        if u[1] * v[2] >= v[1] * u[2]:
+            fitted[k : k + 2] = [[u[0] + v[0], u[1] + v[1], u[2] + v[2]]]
+            k = max(0, k - 1)
+        else:
+            k += 1
+    knots = [f[0] / f[2] for f in fitted], [f[1] / f[2] for f in fitted]
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, neighbours=7).collect()}
+    assert found.keys() == texts.keys()
+    for i, t in texts.items():
+        assert found[i] == pytest.approx(np.interp(vote(t), *knots), abs=1e-9), i
 
 
 def test_toxicity_held_out(spark):
