@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 from pyspark import TaskContext
@@ -22,8 +23,6 @@ from .common import rows_of, text_batches
 
 WINDOW = 4096
 END_ID = 2
-#: Open windows a task holds; beyond it all but half are filled up by cutting, so memory stays bounded.
-MAX_OPEN = 2048
 
 PIECES = T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("doc_tokens", T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
@@ -90,6 +89,12 @@ class Encoder:
             begin = stop
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each Python worker: what a task has learned serves the next ones."""
+    return Encoder(path)
+
+
 class Piece:
     """Tokens [start, start + length) of a document."""
 
@@ -109,7 +114,7 @@ class Piece:
 class Packer:
     """Sum-of-squares packing of a stream; ``done`` gets finished windows as lists of pieces."""
 
-    def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN):
+    def __init__(self, window: int = WINDOW, max_open: int | None = None):
         self.window, self.max_open = window, max_open
         self.open_at = np.zeros(window + 1, np.int64)
         self.open: dict[int, list[list[Piece]]] = {}
@@ -124,7 +129,7 @@ class Packer:
         held = self.take(level) if level else []
         held.append(piece)
         self.put(level + len(piece), held)
-        if self.count > self.max_open:
+        if self.max_open is not None and self.count > self.max_open:
             self.fill_up(self.max_open // 2)
 
     def level(self, size: int) -> int:
@@ -200,12 +205,14 @@ class Packer:
         return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, max_open: int | None = None, with_ids: bool = False) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they come, an empty table gives
     an empty result, and other columns are not read. Sequences belong to one partition: its number fills the upper
-    bits of sequence_id. Within a task memory is bounded by max_open windows and one text.
+    bits of sequence_id. A task holds its open windows, at most the tokens of its own partition; with ``max_open`` it
+    fills up all but half of them by cutting whenever more are open. Ties go to the fullest window. Rows without an id
+    are packed like others.
     """
     text_batches(docs.sparkSession)
     import pyarrow as pa
@@ -225,7 +232,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         return out
 
     def run(batches: Iterator) -> Iterator:
-        encode, packer = Encoder(tokenizer_path), Packer(window, max_open)
+        encode, packer = encoder(tokenizer_path), Packer(window, max_open)
         number = TaskContext.get().partitionId() << 40
         id_type = types = None
 
