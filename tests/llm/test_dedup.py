@@ -238,6 +238,18 @@ def test_line_dedup_equals_brute_force(spark, seed):
     assert {x.strip() for r in found.values() for x in (r["text"] or "").split("\n")} == everything
 
 
+def test_line_dedup_of_repeated_ids_and_long_texts(spark):
+    passage = "\n".join(f"line {k} of the passage" for k in range(30))
+    long = "\n".join(f"only {k}" for k in range(60_000))
+    rows = [(1, passage), (2, "own words\n" + passage), (2, passage + "\nmore"), (3, long), (3, long), (4, long + "\nend"), (None, passage), (None, passage + "\nno id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r["doc_id"] or 0, r["n_lines"], len(r["removed"]), r["text"]) for r in line_dedup.dedup_lines(spark, docs).collect()), key=str)
+    # of texts without an id one stays whole; its copies, and those of all with an id, go
+    assert sum(passage in t for _, _, _, t in found) == 1 and next(t for i, _, _, t in found if passage in t) in (passage, passage + "\nno id")
+    assert sorted(t for i, _, _, t in found if i == 2) == ["more", "own words"] and [t for i, _, _, t in found if i == 1] == [""]
+    assert [(n, k) for i, n, k, _ in found if i in (3, 4)] == [(60_000, 0), (60_000, 0), (60_001, 60_000)]
+
+
 def test_line_dedup_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert line_dedup.dedup_lines(spark, docs).count() == 0
