@@ -31,7 +31,7 @@ def text_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one on local masters."""
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, a new one on local masters only."""
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None)
     if path:

@@ -42,3 +42,40 @@ def test_a_rare_topic_gets_a_centre_however_rows_are_dealt(spark):
     assert [len({topic[k] for k, _ in docs[i:6000:2]}) for i in (0, 1)] == [1, 1]
     assert len({topic[0], topic[1], topic[10_000]}) == 3 and len({topic[10_000 + k] for k in range(3)}) == 1
     assert (mixing.fit_topics(frame.repartition(7), topics=3) == centres).all()
+
+
+def test_probabilities_equal_plain_raking(spark):
+    """Raking and scaling once more, cell by cell with dicts and bisection."""
+    rows = [r for r in saturated_cells() if r[4]]
+    described = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, tokens long")
+    total = sum(r[4] for r in rows)
+    share = {r[1:4]: r[4] / total for r in rows}
+    fitted = dict(share)
+    goals = []
+    for d, name in enumerate(("source", "lang", "topic")):
+        own = {}
+        for cell, x in share.items():
+            own[cell[d]] = own.get(cell[d], 0) + x
+        want = TARGETS[name]
+        raw = {v: want.get(v, x) if isinstance(want, dict) else x**want for v, x in own.items()}
+        goals.append({v: x / sum(raw.values()) for v, x in raw.items()})
+    for _ in range(mixing.ROUNDS):
+        before = dict(fitted)
+        for d, goal in enumerate(goals):
+            now = {}
+            for cell, x in fitted.items():
+                now[cell[d]] = now.get(cell[d], 0) + x
+            fitted = {cell: min(x * goal[cell[d]] / now[cell[d]], share[cell] / mixing.BUDGET) for cell, x in fitted.items()}
+        if max(abs(fitted[c] - before[c]) for c in fitted) < mixing.CLOSE:
+            break
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        x = (low + high) / 2
+        mass = sum(share[c] * min(1, x * fitted[c] / share[c]) for c in share)
+        low, high = (x, high) if mass < mixing.BUDGET else (low, x)
+    found = mixing.mix(spark, described, TARGETS).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        cell = (r["source"], r["lang"], r["topic"])
+        assert r["weight"] == pytest.approx(fitted[cell] / share[cell], rel=1e-6)
+        assert r["probability"] == pytest.approx(min(1, low * fitted[cell] / share[cell]), rel=1e-6)

@@ -54,3 +54,30 @@ def test_stages_against_plain_versions(spark, tmp_path):
     # where documents are cut depends on the partitions, what is packed does not
     whole = lambda df: sorted(map(tuple, df.groupBy("doc_id", "doc_tokens").agg(F.sum("length")).collect()))
     assert whole(corpus_pipeline.run(spark, base)) == whole(packed)
+
+
+def test_edge_cases_go_through_all_stages(spark, tmp_path):
+    """Nulls in any column, clashing extra columns, one id with two texts, a very long text, an empty table."""
+    rnd = random.Random(6)
+    words = [f"w{k}" for k in range(200)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    rows = [(k, text(30), "en", "a", 1) for k in range(60)]
+    rows += [(100, rows[0][1], None, None, None), (100, text(40), "en", "a", 1), (101, None, "en", None, 1), (102, "", None, "a", 1), (103, text(150_000), "en", "a", 1), (None, text(30), "en", "a", 1), (104, rows[5][1].upper(), "en", "a", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = frame.selectExpr("*", "1 AS kept", "'x' AS component_id", "2 AS tokens", "'s' AS score", "3 AS id", "4 AS text_sha256")
+    labels = spark.createDataFrame([(k, 1, int(k % 7 == 0)) for k in range(60)], "doc_id long, quality int, toxic int")
+    for name, docs in (("full", clash), ("empty", clash.limit(0))):
+        base = f"{tmp_path}/{name}"
+        docs.write.parquet(f"{base}/documents.parquet")
+        labels.write.parquet(f"{base}/labels.parquet")
+        docs = spark.read.parquet(f"{base}/documents.parquet")
+        then = docs
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            then = run(spark, then, base)
+            assert then.columns == docs.columns, stage
+            if stage == "exact_dedup" and name == "full":
+                left = [(r["doc_id"], r["text"]) for r in then.collect()]
+                assert (100, rows[61][1]) in left and (0, rows[0][1]) not in left and (5, rows[5][1]) not in left
+                assert (100, rows[60][1]) in left and (102, "") in left and (101, None) not in left and len([1 for i, _ in left if i is None]) == 1
+        assert corpus_pipeline.run(spark, base).count() >= 0
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
