@@ -4,8 +4,8 @@ A bounded sample of labelled documents gives the examples; all their words are t
 for IDF, is counted over the whole corpus. A term's IDF is multiplied by its relevance: 1 less the share of its
 chi-square with the label that chance explains, at least FLOOR; so words that go with a label (toxic or clean) weigh
 most, and all others still count. The examples' unit vectors go to a block-max inverted index: postings by term, in
-blocks of example numbers, with the largest weight of a term in each block that holds it. A document's weights times
-these give every block's bound; blocks are scored in falling order of bound until none can reach the k-th best cosine,
+blocks of example numbers, with the largest weight of a term in each block that holds it; a common term's postings are
+an array of all examples. A document's weights times these give every block's bound; blocks are scored in falling order of bound until none can reach the k-th best cosine,
 so the k nearest examples are exact. They vote with their cosine as weight; isotonic regression on votes that leave
 the example itself out turns a vote into a probability.
 """
@@ -15,8 +15,10 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,11 +26,13 @@ from pyspark.sql import types as T
 from .common import Scratch, rows_of, text_batches
 
 #: Labelled documents learned from, the only bound on what is learned: of each label those with the least hashed ids. Neighbours that vote.
-EXAMPLES, NEIGHBOURS = 4000, 25
+EXAMPLES, NEIGHBOURS = 3000, 25
 #: Chi-square that chance explains. Relevance of a term that goes with no label.
 CHANCE, FLOOR = 15.0, 0.05
-#: Examples in a block. Weight of the prior in a vote.
-BLOCK, PRIOR_WEIGHT = 128, 0.25
+#: Examples in a block. A term in more than one of so many examples has its postings as an array with every example.
+BLOCK, COMMON = 128, 16
+#: Weight of the prior in a vote.
+PRIOR_WEIGHT = 0.25
 #: Each label gets this part of the examples at least, if it has as many rows.
 LEAST_PART = 0.1
 THRESHOLD = 0.7
@@ -48,17 +52,13 @@ class Vocabulary(dict):
     def __reduce__(self):
         return Vocabulary, (list(self),)
 
-    def counts(self, text: str | None) -> tuple[list[int], list[int], list[int]]:
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(terms, how often each occurs in the whole text, how often each word that is no term does)."""
-        terms, counts, others = [], [], []
-        for word, n in word_counts(text).items():
-            k = self.get(word)
-            if k is None:
-                others.append(n)
-            else:
-                terms.append(k)
-                counts.append(n)
-        return terms, counts, others
+        found = word_counts(text)
+        terms = np.fromiter(map(self.get, found, repeat(-1)), np.int64, len(found))
+        counts = np.fromiter(found.values(), float, len(found))
+        known = terms >= 0
+        return terms[known], counts[known], counts[~known]
 
 
 def _listed(batches):
@@ -80,12 +80,15 @@ def _holding(shared):
         import pyarrow as pa
 
         wanted = shared.value
-        total, n = Counter(), 0
+        total = np.zeros(len(wanted) + 1, np.int64)  # the last one: words that are no term
+        n = 0
         for batch in batches:
             for (text,) in rows_of(batch, "text"):
                 n += 1
-                total.update(wanted.keys() & set(_WORDS((text or "").lower())))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *map(wanted.__getitem__, total)], pa.int32()), pa.array([n, *total.values()], pa.int64())], ["term", "n"])
+                words = set(_WORDS((text or "").lower()))
+                total[np.fromiter(map(wanted.get, words, repeat(-1)), np.int64, len(words))] += 1
+        at = np.flatnonzero(total[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at), pa.int32()), pa.array(np.append(n, total[at]), pa.int64())], ["term", "n"])
 
     return run
 
@@ -123,6 +126,8 @@ class Neighbours:
     weight_of: np.ndarray  # of terms: IDF times relevance
     unknown: float  # of a word that is no term
     labels: np.ndarray
+    row: np.ndarray  # [term]: of a common one its number among those, else -1
+    common: np.ndarray  # [common term, example]: weights, up to whole blocks
     first: np.ndarray  # [term]: where its blocks begin
     block: np.ndarray  # of (term, block): number
     most: np.ndarray  # of (term, block): largest weight
@@ -144,12 +149,19 @@ class Neighbours:
         order = np.lexsort((example, term))
         term, example, weight = term[order], example[order], weight[order]
         blocks = max(1, -(-len(vectors) // BLOCK))
+        row = np.full(len(weight_of), -1)
+        often = np.flatnonzero(np.bincount(term, minlength=len(weight_of)) * COMMON > len(vectors))
+        row[often] = np.arange(len(often))
+        common = np.zeros((len(often), blocks * BLOCK))
+        here = row[term] >= 0
+        common[row[term[here]], example[here]] = weight[here]
+        term, example, weight = term[~here], example[~here], weight[~here]
         place = term * blocks + example // BLOCK
         begin = np.flatnonzero(np.diff(place, prepend=-1))
         place = place[begin]
         most = np.maximum.reduceat(weight, begin) if len(begin) else np.zeros(0)
         first = np.searchsorted(place // blocks, np.arange(len(weight_of) + 1))
-        return cls(weight_of, unknown, np.array(labels, float), first, (place % blocks).astype(np.int32), most, np.append(begin, len(term)), example.astype(np.int32), weight, prior, lift)
+        return cls(weight_of, unknown, np.array(labels, float), row, common, first, (place % blocks).astype(np.int32), most, np.append(begin, len(term)), example.astype(np.int32), weight, prior, lift)
 
     def nearest(self, terms, counts, others=(), k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, ties to the smaller number.
@@ -160,33 +172,41 @@ class Neighbours:
         if not len(t):
             return np.zeros(0, np.int64), np.zeros(0)
         q = unit(t, counts, self.weight_of, others, self.unknown)
+        row = self.row[t]
+        rows, often = row[row >= 0], q[row >= 0]
+        t, q = t[row < 0], q[row < 0]
         size = self.first[t + 1] - self.first[t]
         entry, weight = _spread(self.first[t], size), np.repeat(q, size)
         block = self.block[entry]
-        bound = np.bincount(block, weight * self.most[entry])
+        # common terms: exact at once; the others: bounded by what they weigh most in a block
+        part = np.einsum("i,ij->j", often, self.common[rows]).reshape(-1, BLOCK)
+        bound = part.max(1) + np.bincount(block, weight * self.most[entry], len(part))
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        score, done, step, least = np.zeros(len(self.labels)), 0, 1, 0.0
+        score = np.zeros(part.shape)
+        flat = score.reshape(-1)
+        done, step, least = 0, max(1, len(bound) // 4), 0.0
         hit = np.zeros(0, np.int64)
         while done < len(order) and bound[order[done]] >= least - 1e-12:
-            # the next few blocks, twice as many each time
-            taken = np.zeros(len(bound), bool)
-            taken[order[done : done + step]] = True
-            mine = np.flatnonzero(taken[block])
+            # the next blocks, twice as many each time
+            chosen = np.zeros(len(bound), bool)
+            chosen[order[done : done + step]] = True
+            mine = np.flatnonzero(chosen[block])
             e = entry[mine]
             length = self.begin[e + 1] - self.begin[e]
             at = _spread(self.begin[e], length)
-            score += np.bincount(self.examples[at], np.repeat(weight[mine], length) * self.weights[at], len(score))
+            score[chosen] = part[chosen]
+            flat += np.bincount(self.examples[at], np.repeat(weight[mine], length) * self.weights[at], len(flat))
             done, step = done + step, 2 * step
             if without >= 0:
-                score[without] = 0
-            hit = np.flatnonzero(score)
+                flat[without] = 0
+            hit = np.flatnonzero(flat)
             if len(hit) >= k:
-                least = np.partition(score[hit], len(hit) - k)[len(hit) - k]
+                least = np.partition(flat[hit], len(hit) - k)[len(hit) - k]
         if len(hit) > k:
-            hit = hit[score[hit] >= least - 1e-11]
-        best = hit[np.lexsort((hit, -np.round(score[hit], 12)))[:k]]
-        return best, np.minimum(score[best], 1.0)
+            hit = hit[flat[hit] >= least - 1e-11]
+        best = hit[np.lexsort((hit, -np.round(flat[hit], 12)))[:k]]
+        return best, np.minimum(flat[best], 1.0)
 
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         w = cosines * np.where(self.labels[ids] > 0, self.lift[1], self.lift[0])
@@ -203,9 +223,10 @@ class Neighbours:
                 pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
         self.knots = np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
-    def score(self, vote: float) -> float:
-        """The calibrated probability: between the means of two pools it rises in a line."""
-        return float(np.interp(vote, *self.knots)) if len(self.knots[0]) else vote
+
+def calibrated(vote: float, knots: tuple[np.ndarray, np.ndarray]) -> float:
+    """The probability that a vote stands for: between the means of two pools it rises in a line."""
+    return float(np.interp(vote, *knots)) if len(knots[0]) else vote
 
 
 def unit(terms: np.ndarray, counts, weight_of: np.ndarray, others=(), unknown: float = 0.0) -> np.ndarray:
@@ -216,7 +237,7 @@ def unit(terms: np.ndarray, counts, weight_of: np.ndarray, others=(), unknown: f
     return w / np.sqrt(length) if length else w
 
 
-def _company(terms: list[int], telling: np.ndarray, holders: np.ndarray) -> tuple[int, int]:
+def _company(terms, telling: np.ndarray, holders: np.ndarray) -> tuple[int, int]:
     """Examples in this order stand near their like: by their most telling term, then by their most common one."""
     t = np.asarray(terms, np.int64)
     if not len(t):
@@ -230,6 +251,22 @@ class Model:
     wanted: Vocabulary
     ids: list
     index: Neighbours
+    #: (wanted, index without calibration) on all executors; None where nothing was learned
+    shared: Broadcast | None = None
+
+    def judge(self):
+        """A function of (text, neighbours) for tasks: (score, nearest examples). It takes only the calibration along."""
+        knots, shared = self.index.knots, self.shared
+        if shared is None:
+            plain = self.index
+            return lambda text, neighbours: (plain.prior, np.zeros(0, np.int64))
+
+        def run(text: str | None, neighbours: int) -> tuple[float, np.ndarray]:
+            wanted, index = shared.value
+            near, cosines = index.nearest(*wanted.counts(text), neighbours)
+            return calibrated(index.vote(near, cosines), knots), near
+
+        return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, neighbours: int = NEIGHBOURS) -> Model:
@@ -260,48 +297,43 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     mean = sum(sizes.values()) / max(1, len(toxic))
     lift = tuple(sizes.get(t, 0) / n / mean if n else 1.0 for t, n in ((False, drawn[1]), (True, drawn[0])))
 
-    terms = sample.select("toxic", "text").mapInArrow(_listed, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).orderBy("term").toPandas() if positives and negatives else None
-    if terms is None or terms.empty:
+    if not (positives and negatives):
         return Model(Vocabulary(), [], Neighbours.build([], [], np.zeros(0), 0.0, prior))
-    wanted = Vocabulary(terms["term"].tolist())
-    a, b = terms["a"].to_numpy(float), terms["b"].to_numpy(float)
-    shared = spark.sparkContext.broadcast(wanted)
-    held = slim.select("text").mapInArrow(_holding(shared), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    listed = sample.select("toxic", "text").mapInArrow(_listed, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow().sort_by("term")
+    wanted = Vocabulary(listed.column("term").to_pylist())
+    a, b = (listed.column(c).to_numpy().astype(float) for c in ("a", "b"))
+    del listed
+    vocabulary = spark.sparkContext.broadcast(wanted)
+    held = slim.select("text").mapInArrow(_holding(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    vocabulary.destroy()
     count = np.zeros(len(wanted) + 1)  # the last one: all documents
-    count[held["term"].to_numpy()] = held["n"].to_numpy()
+    count[held.column("term").to_numpy()] = held.column("n").to_numpy()
+    del held
     idf = np.log((1 + count[-1]) / (1 + count[:-1])) + 1
     telling = relevance(a, b, positives, negatives)
 
     rows = [(r["id"], *wanted.counts(r["text"])[:2]) for r in sample.select("id", "text").toLocalIterator()]
     rows = sorted(rows, key=lambda r: (_company(r[1], telling, a + b), r[0]))
-    vectors = [r[1:] for r in rows]
-    index = Neighbours.build(vectors, [toxic[r[0]] for r in rows], idf * telling, float(np.log(1 + count[-1]) + 1) * FLOOR, prior, lift)
-    model = Model(wanted, [r[0] for r in rows], index)
-
-    number = {key: k for k, key in enumerate(model.ids)}
-    whole = spark.sparkContext.broadcast((model, number))
+    ids = [r[0] for r in rows]
+    index = Neighbours.build([r[1:] for r in rows], [toxic[i] for i in ids], idf * telling, float(np.log(1 + count[-1]) + 1) * FLOOR, prior, lift)
+    del rows
+    shared = spark.sparkContext.broadcast((wanted, index))
+    numbers = {key: k for k, key in enumerate(ids)}
 
     def left_out(batches):
         import pyarrow as pa
 
-        m, numbers = whole.value
+        terms, examples = shared.value
         for batch in batches:
             at = [numbers[key] for key in batch.column(0).to_pylist()]
-            votes = [m.index.vote(*m.index.nearest(*m.wanted.counts(text), neighbours, without=k)) for k, (text,) in zip(at, rows_of(batch, "text"), strict=True)]
+            votes = [examples.vote(*examples.nearest(*terms.counts(text), neighbours, without=k)) for k, (text,) in zip(at, rows_of(batch, "text"), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(votes, pa.float64())], ["k", "vote"])
 
     spread = sample.select("id", "text").repartition(4 * spark.sparkContext.defaultParallelism, "id")
     found = dict(spread.mapInArrow(left_out, "k int, vote double").collect())
-    index.calibrate(np.array([found[k] for k in range(len(rows))]))
-    shared.unpersist()
-    whole.unpersist()
+    index.calibrate(np.array([found[k] for k in range(len(ids))]))
     work.drop("sample")
-    return model
-
-
-def _scored(m: Model, text: str | None, neighbours: int) -> tuple[float, np.ndarray]:
-    near, cosines = m.index.nearest(*m.wanted.counts(text), neighbours)
-    return m.index.score(m.index.vote(near, cosines)), near
+    return Model(wanted, ids, index, shared)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD, evidence: int = 3) -> DataFrame:
@@ -316,16 +348,15 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.ArrayType(id_type))])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    judge, names = model.judge(), model.ids
 
     def run(batches):
-        m = shared.value
         for batch in batches:
             scores, near = [], []
             for (text,) in rows_of(batch, text_col):
-                found, ids = _scored(m, text, neighbours)
+                found, ids = judge(text, neighbours)
                 scores.append(found)
-                near.append([m.ids[i] for i in ids[:evidence]])
+                near.append([names[i] for i in ids[:evidence]])
             kind = batch.schema.field(0).type
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(near, pa.list_(kind))], [id_col, "score", "predicted", "evidence"])
 
@@ -337,12 +368,11 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", neighbours: int
     text_batches(docs.sparkSession)
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    judge = model.judge()
 
     def run(batches):
-        m = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([_scored(m, text, neighbours)[0] < threshold for (text,) in rows_of(batch, text_col)], pa.bool_()))
+            yield batch.filter(pa.array([judge(text, neighbours)[0] < threshold for (text,) in rows_of(batch, text_col)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
