@@ -36,7 +36,7 @@ from .shingles import shingle_sets
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Text characters whose blobs are built at once, and text characters whose shingles one hash range holds, about.
-GATHER, RANGE = 8 << 20, 16 << 20
+GATHER, RANGE = 4 << 20, 16 << 20
 #: Largest size for which subsets are considered at all.
 MAX_LIGHT = 14
 #: 64-bit words of a set's parity bits.

@@ -23,10 +23,10 @@ ROUNDS, CLOSE = 200, 1e-9
 #: Cells that are raked on the driver; more are raked as DataFrames.
 LOCAL_CELLS = 50_000
 #: Topics: groups of hashed word profiles, fitted on all documents in at most so many updates.
-TOPICS, UPDATES, PROFILE = 6, 25, 256
+TOPICS, UPDATES, PROFILE = 6, 6, 256
 #: Profiles and centres are whole multiples of 1/GRID: cosines and sums are exact, in whatever order rows come.
 GRID = 1 << 20
-GATHER = 8 << 20
+GATHER = 4 << 20
 
 
 def profiles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -35,7 +35,7 @@ class Encoder:
     """
 
     #: Pre-tokens remembered in each of two generations; the older one is forgotten when the newer one is full.
-    REMEMBER = 400_000
+    REMEMBER = 120_000
 
     def __init__(self, path: str):
         import re
