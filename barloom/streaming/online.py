@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,9 @@ class OnlineFeatures:
         """The newest state; one folder for each epoch, so a repeated batch starts from the same rows."""
         try:
             return spark.read.schema(batch.schema).parquet(f"{self.path}/epoch={epoch - 1}") if epoch else batch.limit(0)
-        except Exception:  # no state yet
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # anything else must not pass for an empty history
+                raise
             return batch.limit(0)
 
     def __call__(self, batch: DataFrame, epoch: int) -> None:
