@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import repeat
 
 import numpy as np
@@ -80,15 +80,12 @@ def _holding(shared):
         import pyarrow as pa
 
         wanted = shared.value
-        total = np.zeros(len(wanted) + 1, np.int64)  # the last one: words that are no term
-        n = 0
+        known, held, n = wanted.__contains__, Counter(), 0
         for batch in batches:
             for (text,) in rows_of(batch, "text"):
                 n += 1
-                words = set(_WORDS((text or "").lower()))
-                total[np.fromiter(map(wanted.get, words, repeat(-1)), np.int64, len(words))] += 1
-        at = np.flatnonzero(total[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, at), pa.int32()), pa.array(np.append(n, total[at]), pa.int64())], ["term", "n"])
+                held.update(filter(known, set(_WORDS((text or "").lower()))))
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *map(wanted.get, held)], pa.int32()), pa.array([n, *held.values()], pa.int64())], ["term", "n"])
 
     return run
 
@@ -137,6 +134,10 @@ class Neighbours:
     prior: float
     lift: tuple[float, float] = (1.0, 1.0)  # labelled rows that an example of label 0, of label 1 stands for
     knots: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
+    room: np.ndarray | None = field(default=None, repr=False, compare=False)  # where a text's rows of ``common`` are gathered
+
+    def __getstate__(self) -> dict:
+        return {**vars(self), "room": None}
 
     @classmethod
     def build(cls, vectors: list[tuple[list[int], list[int]]], labels: list[int], weight_of: np.ndarray, unknown: float, prior: float, lift: tuple[float, float] = (1.0, 1.0)) -> Neighbours:
@@ -179,7 +180,10 @@ class Neighbours:
         entry, weight = _spread(self.first[t], size), np.repeat(q, size)
         block = self.block[entry]
         # common terms: exact at once; the others: bounded by what they weigh most in a block
-        part = np.einsum("i,ij->j", often, self.common[rows]).reshape(-1, BLOCK)
+        if self.room is None:
+            self.room = np.empty(self.common.shape)
+        mine = np.take(self.common, rows, axis=0, out=self.room[: len(rows)], mode="clip")
+        part = np.einsum("i,ij->j", often, mine).reshape(-1, BLOCK)
         bound = part.max(1) + np.bincount(block, weight * self.most[entry], len(part))
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
