@@ -101,6 +101,33 @@ def rows_of(batch, *columns: str) -> Iterator[tuple]:
         yield from zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)
 
 
+def give_back() -> None:
+    """Hands memory that Python, Arrow and the C library hold but no longer use back to the system.
+
+    Workers outlive their tasks; without this, what one operator's largest batch took still counts in the next one's.
+    """
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim is not None:
+        trim(0)
+
+
+def thrifty(run):
+    """``run``, a function of Arrow batches, with give_back() when its task ends."""
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return task
+
+
 def chunks_of(rows: Iterable[tuple], size: int, length) -> Iterator[list[tuple]]:
     """Groups rows until ``length`` of them adds up to ``size``."""
     held, total = [], 0

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunks_of, maybe_broadcast, rows_of
+from .common import Scratch, chunks_of, maybe_broadcast, rows_of, thrifty
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -335,7 +335,7 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     amount = slim.agg(F.sum(F.char_length("text"))).first()[0] or 0
     bucket_bits = min(24, max(5, (amount // RANGE).bit_length()))
 
-    gathered = work.save(slim.mapInArrow(_gather(bucket_bits, size, percent), META), "gathered")
+    gathered = work.save(slim.mapInArrow(thrifty(_gather(bucket_bits, size, percent)), META), "gathered")
     meta = gathered.where("bucket is null").select("id", "n", "d1", "d2", "times", "need")
     blobs = gathered.where("bucket is not null").select("bucket", "low", "ids", "needs")
     counted = blobs.groupBy("bucket").applyInPandas(_shared, "id long, times long, need long").unionByName(meta.where("times > 0").select("id", "times", "need"))
@@ -346,7 +346,7 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     classes = meta.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     classes = work.save(classes, "classes")
     reps = work.save(classes.join(alive.withColumnRenamed("id", "rep"), "rep", "left_semi").select(F.col("rep").alias("id")).distinct(), "reps")
-    chosen = slim.join(maybe_broadcast(reps), "id", "left_semi").mapInArrow(_sets_of(size), SETS)
+    chosen = slim.join(maybe_broadcast(reps), "id", "left_semi").mapInArrow(thrifty(_sets_of(size)), SETS)
     several = work.save(meta.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("n", "d1", "d2")).alias("x"), F.max(F.struct("n", "d1", "d2")).alias("y")).where("rows > 1").select("id", (F.col("x") != F.col("y")).alias("differ")), "several")
     if not several.isEmpty():  # a repeated row gives its set once
         chosen = chosen.dropDuplicates(["id", "h"])
@@ -358,7 +358,7 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     light = boundary(counts, percent, length)
     keys = lists.where(F.col("n") >= common(light + 1, percent))
     if light:
-        keys = keys.unionByName(sets.where(F.col("n") <= light).select("rep", "n", "s").mapInArrow(_light_keys(percent), "key long, rep long, n long").withColumn("at", F.lit(0).cast("long")))
+        keys = keys.unionByName(sets.where(F.col("n") <= light).select("rep", "n", "s").mapInArrow(thrifty(_light_keys(percent)), "key long, rep long, n long").withColumn("at", F.lit(0).cast("long")))
     keys = work.save(keys, "keys")
     work.drop("frequencies", "posted")
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, chunks_of, rows_of, text_batches
+from .common import Scratch, chunks_of, rows_of, text_batches, thrifty
 from .shingles import words_of_each
 
 #: Part of all tokens that the sample is to hold.
@@ -70,7 +70,7 @@ def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 counts = counts.astype("<u4")[n > 0]
                 yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in counts], pa.binary())], ["counts"])
 
-    made = work.save(docs.select(F.col(text_col).alias("text")).mapInArrow(count, "counts binary"), "counts")
+    made = work.save(docs.select(F.col(text_col).alias("text")).mapInArrow(thrifty(count), "counts binary"), "counts")
 
     def read(batch):
         return np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4").reshape(-1, PROFILE)
@@ -90,7 +90,7 @@ def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if best:
                 yield pa.RecordBatch.from_arrays([pa.array([best[0]]), pa.array([best[1]], pa.binary())], ["close", "counts"])
 
-        found = made.mapInArrow(run, "close double, counts binary").orderBy("close", "counts").first()
+        found = made.mapInArrow(thrifty(run), "close double, counts binary").orderBy("close", "counts").first()
         return found and (found["close"], unit_profiles(np.frombuffer(found["counts"], "<u4").reshape(1, PROFILE))[0])
 
     def sums(centres):
@@ -105,7 +105,7 @@ def fit_topics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["at", "n"])
 
         total = np.zeros(centres.size)
-        for at, n in made.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n")).collect():
+        for at, n in made.mapInArrow(thrifty(run), "at int, n long").groupBy("at").agg(F.sum("n")).collect():
             total[at] = n
         return total.reshape(centres.shape)
 
@@ -152,7 +152,7 @@ def describe(docs: DataFrame, centres: np.ndarray, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(1 + len(keep))), pa.array(n), pa.array([f"t{k}" for k in near])], [id_col, *keep, "tokens", "topic"])
 
     fields = [docs.schema[c] for c in (id_col, *keep)]
-    return docs.select(id_col, *keep, text_col).mapInArrow(run, T.StructType([*fields, T.StructField("tokens", T.LongType()), T.StructField("topic", T.StringType())]))
+    return docs.select(id_col, *keep, text_col).mapInArrow(thrifty(run), T.StructType([*fields, T.StructField("tokens", T.LongType()), T.StructField("topic", T.StringType())]))
 
 
 def targets_of(shares: Mapping[str, float], wanted: Mapping[str, float] | float) -> dict[str, float]:

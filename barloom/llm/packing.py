@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import rows_of, text_batches
+from .common import rows_of, text_batches, thrifty
 
 WINDOW = 4096
 END_ID = 2
@@ -255,4 +255,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             packer.close()
             yield told()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, rows_of, text_batches
+from .common import Scratch, rows_of, text_batches, thrifty
 
 #: Labelled documents learned from, the only bound on what is learned: of each label those with the least hashed ids. Neighbours that vote.
 EXAMPLES, NEIGHBOURS = 4000, 25
@@ -312,12 +312,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     if not (positives and negatives):
         return Model(Vocabulary(), [], Neighbours.build([], [], np.zeros(0), 0.0, prior))
-    listed = sample.select("toxic", "text").mapInArrow(_listed, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow().sort_by("term")
+    listed = sample.select("toxic", "text").mapInArrow(thrifty(_listed), "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow().sort_by("term")
     wanted = Vocabulary(listed.column("term").to_pylist())
     a, b = (listed.column(c).to_numpy().astype(float) for c in ("a", "b"))
     del listed
     vocabulary = spark.sparkContext.broadcast(wanted)
-    held = slim.select("text").mapInArrow(_holding(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    held = slim.select("text").mapInArrow(thrifty(_holding(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     vocabulary.destroy()
     count = np.zeros(len(wanted) + 1)  # the last one: all documents
     count[held.column("term").to_numpy()] = held.column("n").to_numpy()
@@ -343,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(votes, pa.float64())], ["k", "vote"])
 
     spread = sample.select("id", "text").repartition(4 * spark.sparkContext.defaultParallelism, "id")
-    found = dict(spread.mapInArrow(left_out, "k int, vote double").collect())
+    found = dict(spread.mapInArrow(thrifty(left_out), "k int, vote double").collect())
     index.calibrate(np.array([found[k] for k in range(len(ids))]))
     work.drop("sample")
     return Model(wanted, ids, index, shared)
@@ -373,7 +373,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             kind = batch.schema.field(0).type
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(near, pa.list_(kind))], [id_col, "score", "predicted", "evidence"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
@@ -387,7 +387,7 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", neighbours: int
         for batch in batches:
             yield batch.filter(pa.array([judge(text, neighbours)[0] < threshold for (text,) in rows_of(batch, text_col)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(thrifty(run), docs.schema)
 
 
 def may_learn(doc_id):
