@@ -31,10 +31,17 @@ class BoundTransform:
     spec: TransformSpec
     node: Callable[[Node], Node]
 
-    def apply(self, frame: DataFrame, column: str, schema: BarSchema, out: str | None = None) -> DataFrame:
-        """The frame with one more column, by the schema's symbol and time."""
-        keep = tuple(c for c in frame.columns if c not in (schema.symbol_col, schema.timestamp_col))
-        return evaluate(frame, {out or f"{column}_{self.spec.name}": self.node(src(column))}, schema.symbol_col, schema.timestamp_col, keep)
+    def apply(self, frame: DataFrame, column: str, schema: BarSchema, out: str | None = None, over: str | None = None) -> DataFrame:
+        """The frame with one more column, by the schema's symbol and time.
+
+        ``over`` names another column to group by: in place of the symbol for trailing transforms, in place of the
+        time for those across symbols.
+        """
+        by, time = schema.symbol_col, schema.timestamp_col
+        if over is not None:
+            by, time = (over, time) if self.spec.lookback is not None else (by, over)
+        keep = tuple(c for c in frame.columns if c not in (by, time))
+        return evaluate(frame, {out or f"{column}_{self.spec.name}": self.node(src(column))}, by, time, keep)
 
 
 def _bound(name: str, node, params: Params, lookback: int | None, min_history: int, unit: Unit) -> BoundTransform:

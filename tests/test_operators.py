@@ -230,7 +230,7 @@ def test_bundles(spark):
     with pytest.raises(ValueError, match="empty"):
         FeatureSet([]).compute(None, schema=BARS)
     own = FeatureSet([f.sma(3), f.ret_log()])
-    assert own.names() == ["sma_3", "ret_log_1"] and required_columns(own, BARS) == ["close"] and max_min_history(own) == 3 and len(describe(own)) == 2
+    assert own.names() == ["sma_3", "ret_log_1"] and required_columns(own, BARS) == {str(r.CLOSE_TR): "close"} and max_min_history(own) == 3 and len(describe(own)) == 2
     made = own.compute(bars(spark), schema=BARS)
     assert made.columns == ["symbol", "timestamp", "sma_3", "ret_log_1"]
     assert drop_warmup(made, own, BARS).count() == 2 * (6 - 3)
