@@ -294,3 +294,23 @@ def test_streamed_time_bars(spark, tmp_path):
     query.stop()
     made = spark.sql("select * from bars_out order by timestamp").collect()
     assert [(x["open"], x["close"], x["trade_count"]) for x in made] == [(1.0, 2.0, 2), (3.0, 3.0, 1)]
+
+
+@pytest.mark.parametrize("rule", ["lee_ready"])
+def test_dollar_bars_of_sums_on_the_threshold_equal_sql(spark, rule):
+    """Running sums of cents meet the threshold again and again, where the last bit of a sum decides."""
+    import random
+
+    import duckdb
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice("AB"), T0 + pd.Timedelta(seconds=k), rnd.randrange(1, 100) / 10, None if k % 97 == 5 else float(rnd.randrange(1, 4)), 5.0, 5.2, k) for k in range(6000)]
+    frame = pd.DataFrame(rows, columns=["symbol", "timestamp", "price", "size", "bid", "ask", "seq"])
+    frame["timestamp"] = frame["timestamp"].dt.tz_localize(None)
+    con = duckdb.connect()
+    con.register("ticks", frame)
+    text = sources.bars_sql("dollar", 0.5, rule)
+    want = con.execute(f"WITH {text} SELECT symbol, epoch_us(timestamp), trade_count, open, close FROM bars ORDER BY ALL").fetchall()
+    ticks = spark.createDataFrame([(r[0], r[1].to_pydatetime(), *r[2:]) for r in rows], "symbol string, timestamp timestamp, price double, size double, bid double, ask double, seq long")
+    made = build_bars(ticks, BarSpec("dollar", threshold=0.5, sign_rule=rule)).selectExpr("symbol", "unix_micros(timestamp)", "trade_count", "open", "close")
+    assert sorted(map(tuple, made.collect())) == want
