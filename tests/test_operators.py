@@ -296,7 +296,7 @@ def test_streamed_time_bars(spark, tmp_path):
     assert [(x["open"], x["close"], x["trade_count"]) for x in made] == [(1.0, 2.0, 2), (3.0, 3.0, 1)]
 
 
-@pytest.mark.parametrize("rule", ["lee_ready", "tick_rule"])
+@pytest.mark.parametrize("rule", ["lee_ready", "tick_rule", "none"])
 def test_dollar_bars_of_sums_on_the_threshold_equal_sql(spark, rule):
     """Running sums of cents meet the threshold again and again, where the last bit of a sum decides."""
     import random
