@@ -11,9 +11,10 @@ Two sets link when 100 * |A and B| >= percent * |A or B|. Then each shares at le
 3. Links. In a pass each set is compared with one partner from another component, the same one for as many sets as
    possible, so a pass makes no more edges than there are sets, however many lists a group of near copies shares.
    Components are formed, and the next pass looks only at lists whose members lie in different components. When a
-   pass no longer links a good part of what it compares, all pairs left in such lists are compared; so every
-   component comes out exact. Before full sets are fetched, two exact bounds drop pairs: a shared shingle's ranks in
-   both sets bound the overlap from above, and so do the bits in which the parities of both sets' shingles differ.
+   pass neither links a good part of what it compares nor closes lists with a good part of the pairs left, all pairs
+   left in such lists are compared, each in the first list where it meets; so every component comes out exact. Before
+   full sets are fetched, two exact bounds drop pairs: a shared shingle's ranks in both sets bound the overlap from
+   above, and so do the bits in which the parities of both sets' shingles differ.
 
 Shingles are 64-bit hashes of 64-bit word hashes; small sets, of which many may exist, are compared by a second
 64 bits too. Equal sets are one class, represented by the smallest id.
@@ -26,7 +27,7 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +44,10 @@ MAX_LIGHT = 14
 WORDS = 16
 #: Members of one component in one list beyond which they are not joined among themselves.
 CROWD = 512
-#: Part of a pass's pairs that must link for another pass to be worth it.
+#: Part of a pass's pairs that must link, or of the pairs in open lists that must go, for another pass to be worth it.
 WORTH = 0.25
+#: Lists of a set, before one at hand, in which a pair is known to have met.
+BEFORE = 32
 
 
 def common(n, percent: int):
@@ -268,28 +271,32 @@ def _meet(left: DataFrame, right: DataFrame, apart, percent: int) -> DataFrame:
     by_rank = F.least(n - F.col("a.at"), m - F.col("b.at")) >= least
     differ = sum((F.bit_count(F.col(f"a.w{k}").bitwiseXOR(F.col(f"b.w{k}"))) for k in range(WORDS)), start=F.lit(0))
     by_bits = (n + m - differ) / F.lit(2.0) >= least
-    found = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _sizes_fit(n, m, percent) & by_rank & by_bits)
+    # what shares an earlier list, where ranks bound no more, met there; the first shared list of either set always counts
+    anew = ~F.arrays_overlap("a.before", "b.before")
+    found = a.join(b, (F.col("a.key") == F.col("b.key")) & apart & _sizes_fit(n, m, percent) & by_rank & by_bits & anew)
     return found.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
 
 
-def _partners(work: Scratch, keys: DataFrame, found: DataFrame, tested: DataFrame | None, k: int) -> DataFrame:
+def _partners(work: Scratch, keys: DataFrame, found: DataFrame, tested: DataFrame | None, k: int, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): for each set of an open list at most one partner there, from another component, not compared yet.
 
     keys has key and rep, found rep and component. A list offers its first and its last member in an order of all sets
     that differs from pass to pass; where these lie in different components every member has a partner. Of its lists'
-    offers a set takes the first.
+    offers a set takes the first that size and bits allow to link.
     """
     here = keys.select("key", "rep").join(found, "rep").withColumn("order", F.xxhash64("rep", F.lit(100 + k)))
     offer = F.struct("order", "rep", "component")
     ends = here.groupBy("key").agg(F.min(offer).alias("x"), F.max(offer).alias("y"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     ends = work.save(ends.select("key", "x", "y"), f"ends-{k}")
     met = here.join(ends, "key").withColumn("other", F.when(F.col("component") != F.col("x.component"), F.col("x")).when(F.col("component") != F.col("y.component"), F.col("y")))
-    pairs = met.where("other is not null").select("rep", F.struct(F.col("other.order").alias("order"), F.col("other.rep").alias("other")).alias("offer"))
+    offers = met.where("other is not null").select("rep", F.col("other.rep").alias("other"), F.col("other.order").alias("order")).distinct()
+    offers = work.save(offers.withColumns({"a": F.least("rep", "other"), "b": F.greatest("rep", "other")}), f"offers-{k}")
+    pairs = offers.select("a", "b").distinct()
     if tested is not None:
-        a, b = F.least("rep", "offer.other"), F.greatest("rep", "offer.other")
-        pairs = pairs.withColumns({"a": a, "b": b}).join(tested, ["a", "b"], "left_anti")
-    chosen = pairs.groupBy("rep").agg(F.min("offer").alias("offer"))
-    return chosen.select(F.least("rep", "offer.other").alias("a"), F.greatest("rep", "offer.other").alias("b")).distinct()
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    near = offers.join(_may_link(pairs, sets, percent), ["a", "b"])
+    chosen = near.groupBy("rep").agg(F.min(F.struct("order", "a", "b")).alias("offer"))
+    return chosen.select("offer.a", "offer.b").distinct()
 
 
 def _grown(work: Scratch, found: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -309,6 +316,8 @@ def _open(in_lists: DataFrame) -> DataFrame:
 
 def _met(work: Scratch, rest: DataFrame, percent: int) -> DataFrame:
     """All pairs (a, b) of ``rest`` that share a list, lie in different components and may link."""
+    earlier = Window.partitionBy("rep").orderBy("at", "key").rowsBetween(-BEFORE, -1)
+    rest = work.save(rest.withColumn("before", F.collect_list("key").over(earlier)), "rest")
     crowds = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("here")).where(F.col("here") > CROWD).select("key", "component")
     crowds = work.save(crowds, "crowds")
     if crowds.isEmpty():
@@ -363,19 +372,19 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     work.drop("frequencies", "posted")
 
     found = work.save(keys.select("rep").distinct().select("rep", F.col("rep").alias("component")), "alone")
-    links, tested, paying, k = None, None, True, 0
+    links, tested, paying, left, k = None, None, True, None, 0
     while True:
         in_lists = keys.join(found, "rep")
         lists = work.save(_open(in_lists), f"open-{k}")
         if lists.isEmpty():
             rest = None
             break
-        if not paying:
+        before, left = left, lists.agg(F.sum("pairs")).first()[0]
+        if not paying and left >= (1 - WORTH) * before:
             rest = in_lists
             break
-        pairs = work.save(_partners(work, keys.join(lists.select("key"), "key", "left_semi"), found, tested, k), f"pairs-{k}")
-        near = work.save(_may_link(pairs, sets, percent), f"near-{k}")
-        new = work.save(_verified(near, sets, percent), f"links-{k}")
+        pairs = work.save(_partners(work, keys.join(lists.select("key"), "key", "left_semi"), found, tested, k, sets, percent), f"pairs-{k}")
+        new = work.save(_verified(pairs, sets, percent), f"links-{k}")
         tested = pairs if tested is None else work.save(tested.unionByName(pairs), f"tested-{k}")
         paying = new.count() > WORTH * pairs.count()
         links = new if links is None else links.unionByName(new)
@@ -383,8 +392,7 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         k += 1
     if rest is not None:
         words = [F.col("bits")[w].alias(f"w{w}") for w in range(WORDS)]
-        rest = work.save(rest.join(lists.select("key"), "key", "left_semi").join(sets.select("rep", *words), "rep"), "rest")
-        met = _met(work, rest, percent)
+        met = _met(work, rest.join(lists.select("key"), "key", "left_semi").join(sets.select("rep", *words), "rep"), percent)
         if tested is not None:
             met = met.join(tested, ["a", "b"], "left_anti")
         new = work.save(_verified(work.save(met, "met"), sets, percent), "links-last")

@@ -142,6 +142,25 @@ def test_near_copies_make_few_edges(spark, monkeypatch):
     assert made and max(made) <= 120
 
 
+def test_a_pair_meets_in_its_first_list(spark, monkeypatch):
+    """Sets of different components that share many lists are compared in one of them."""
+    made = []
+    meet = jaccard_join._meet
+    monkeypatch.setattr(jaccard_join, "_meet", lambda *x: made.append(meet(*x).count()) or meet(*x))
+    words = {f"w{w}": 0 for w in range(jaccard_join.WORDS)}
+    # set 5 has a list of its own before all others, set 4 starts late
+    rows = [dict(key=k, rep=r, n=100, at=k, component=r, **words) for r in range(6) for k in range(12 if r == 4 else 0, 20)]
+    rows.append(dict(key=99, rep=5, n=100, at=0, component=5, **words))
+    rest = spark.createDataFrame(rows, "key long, rep long, n long, at long, component long, " + ", ".join(f"{w} long" for w in words))
+    work = jaccard_join.Scratch(spark, "test")
+    for crowd in (512, 0):
+        monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+        made.clear()
+        met = jaccard_join._met(work, rest, 80)
+        assert sorted(map(tuple, met.collect())) == [(a, b) for a in range(6) for b in range(a + 1, 6) if 4 not in (a, b)]
+        assert sum(made) == 10
+
+
 def test_one_id_with_two_texts_links_by_both(spark):
     a, b = " ".join(f"a{k}" for k in range(20)), " ".join(f"b{k}" for k in range(20))
     docs = spark.createDataFrame([(7, a), (7, b), (3, a), (9, b), (9, b), (5, "else"), (5, None)], "doc_id long, text string")
