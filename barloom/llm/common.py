@@ -118,10 +118,30 @@ def give_back() -> None:
         trim(0)
 
 
-def thrifty(run):
-    """``run``, a function of Arrow batches, with give_back() when its task ends."""
+#: What tasks keep in this Python worker for the next ones of their operator, by (operator, key).
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(operator: str, key, make):
+    """``make()``, once for each Python worker until a task of another operator begins there."""
+    if (operator, key) not in _KEPT:
+        _KEPT[operator, key] = make()
+    return _KEPT[operator, key]
+
+
+def forget(but: str | None = None) -> None:
+    """Drops what tasks of other operators than ``but`` have kept."""
+    if others := [k for k in _KEPT if k[0] != but]:
+        for k in others:
+            del _KEPT[k]
+        give_back()
+
+
+def thrifty(run, operator: str | None = None):
+    """``run``, a function of Arrow batches, with give_back() when its task ends; what other operators kept goes before."""
 
     def task(batches):
+        forget(operator)
         yield from run(batches)
         give_back()
 

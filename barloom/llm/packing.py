@@ -12,14 +12,13 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import rows_of, text_batches, thrifty
+from .common import kept, rows_of, text_batches, thrifty
 
 WINDOW = 4096
 END_ID = 2
@@ -89,10 +88,9 @@ class Encoder:
             begin = stop
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    """One for each Python worker: what a task has learned serves the next ones."""
-    return Encoder(path)
+    """One for each Python worker: what a task has learned serves the next ones of this operator."""
+    return kept("packing", path, lambda: Encoder(path))
 
 
 class Piece:
@@ -255,4 +253,4 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             packer.close()
             yield told()
 
-    return docs.select(id_col, text_col).mapInArrow(thrifty(run), schema)
+    return docs.select(id_col, text_col).mapInArrow(thrifty(run, "packing"), schema)

@@ -94,3 +94,13 @@ def test_pack_table(spark, encode):
             at += length
         assert at == 4096 or at & (at - 1) == 0
     assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
+
+
+def test_a_worker_forgets_the_tokenizer_when_another_operator_begins():
+    from barloom.llm import common
+
+    first = packing.encoder(tokenizer_path())
+    list(common.thrifty(iter, "packing")([]))
+    assert packing.encoder(tokenizer_path()) is first
+    list(common.thrifty(iter)([]))
+    assert not common._KEPT and packing.encoder(tokenizer_path()) is not first
