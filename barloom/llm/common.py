@@ -65,6 +65,13 @@ class Scratch:
         for name in names:
             self._remove(f"{self.root}/{name}")
 
+    def sweep(self) -> None:
+        """Lets shuffle files of finished plans go: Spark deletes them once the driver has collected their plans."""
+        import gc
+
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def _remove(self, path: str) -> None:
         files, target = self._files(path)
         files.delete(target, True)

@@ -1,21 +1,42 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table: alternating large-star and small-star steps, a forest on the driver for few edges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import BROADCAST_ROWS, Scratch
 
 
-def connected_components(work: Scratch, edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
+def forest(edges: list[tuple[int, int]]) -> dict[int, int]:
+    """The smallest node that each node of the edges reaches."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := above.setdefault(x, x)) != x:
+            above[x] = x = above[y]
+        return x
+
+    for a, b in edges:
+        x, y = root(a), root(b)
+        above[max(x, y)] = min(x, y)
+    return {x: root(x) for x in list(above)}
+
+
+def connected_components(work: Scratch, edges: DataFrame, name: str, max_rounds: int = 60, few: int = BROADCAST_ROWS) -> DataFrame:
     """(node, component): the smallest node each node of ``edges`` (a, b) reaches.
 
+    Up to ``few`` counted edges go to the driver, beyond that none does.
+
     Each round writes its edges, so a lost executor never restarts the iteration. Every step deals out edges by a
     node; the large star of a node is a minimum, formed before the shuffle, written and joined back, so a hub does not
     gather its neighbours and the join can deal a hub's edges to several tasks.
     """
     now = work.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    if now.count() <= few:
+        found = forest([(r["a"], r["b"]) for r in now.collect()])
+        work.drop(f"{name}-0")
+        return work.spark.createDataFrame(list(found.items()), "node long, component long")
     done = None
     for k in range(1, max_rounds + 1):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

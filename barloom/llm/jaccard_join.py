@@ -256,6 +256,7 @@ def _posted(work: Scratch, sets: DataFrame, percent: int) -> DataFrame:
     """
     tokens = sets.select("rep", "h", "n", F.explode("s").alias("key"))
     known = work.save(tokens.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
+    work.sweep()
     lists = tokens.join(known, "key").groupBy("rep", "h", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("held"))
     n_common = F.ceil(F.col("n") * percent / F.lit(100))
     room = (F.col("n") - n_common + 1) - (F.col("n") - F.size("held"))
@@ -277,14 +278,14 @@ def _meet(left: DataFrame, right: DataFrame, apart, percent: int) -> DataFrame:
     return found.select(F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b"))
 
 
-def _partners(work: Scratch, keys: DataFrame, found: DataFrame, tested: DataFrame | None, k: int, sets: DataFrame, percent: int) -> DataFrame:
+def _partners(work: Scratch, in_lists: DataFrame, tested: DataFrame | None, k: int, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): for each set of an open list at most one partner there, from another component, not compared yet.
 
-    keys has key and rep, found rep and component. A list offers its first and its last member in an order of all sets
+    in_lists has key, rep and component, of open lists only. A list offers its first and its last member in an order of all sets
     that differs from pass to pass; where these lie in different components every member has a partner. Of its lists'
     offers a set takes the first that size and bits allow to link.
     """
-    here = keys.select("key", "rep").join(found, "rep").withColumn("order", F.xxhash64("rep", F.lit(100 + k)))
+    here = in_lists.select("key", "rep", "component").withColumn("order", F.xxhash64("rep", F.lit(100 + k)))
     offer = F.struct("order", "rep", "component")
     ends = here.groupBy("key").agg(F.min(offer).alias("x"), F.max(offer).alias("y"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     ends = work.save(ends.select("key", "x", "y"), f"ends-{k}")
@@ -303,7 +304,7 @@ def _grown(work: Scratch, found: DataFrame, links: DataFrame, name: str) -> Data
     """Components (rep, component) after more links (a, b) between sets: components of the graph between components."""
     side = lambda x: found.select(F.col("rep").alias(x), F.col("component").alias(f"{x}_in"))
     edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_in").alias("a"), F.col("b_in").alias("b"))
-    joined = work.save(connected_components(work, edges, name).select(F.col("node").alias("component"), F.col("component").alias("into")), f"{name}-joined")
+    joined = connected_components(work, edges, name).select(F.col("node").alias("component"), F.col("component").alias("into"))
     return work.save(found.join(joined, "component", "left").select("rep", F.coalesce("into", "component").alias("component")), f"{name}-found")
 
 
@@ -345,11 +346,13 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     bucket_bits = min(24, max(5, (amount // RANGE).bit_length()))
 
     gathered = work.save(slim.mapInArrow(thrifty(_gather(bucket_bits, size, percent)), META), "gathered")
-    meta = gathered.where("bucket is null").select("id", "n", "d1", "d2", "times", "need")
+    meta = work.save(gathered.where("bucket is null").select("id", "n", "d1", "d2", "times", "need"), "meta")
     blobs = gathered.where("bucket is not null").select("bucket", "low", "ids", "needs")
     counted = blobs.groupBy("bucket").applyInPandas(_shared, "id long, times long, need long").unionByName(meta.where("times > 0").select("id", "times", "need"))
     alive = counted.groupBy("id").agg(F.sum("times").alias("times"), F.max("need").alias("need")).where("times >= need").select("id")
     alive = work.save(alive, "alive")
+    work.drop("gathered")
+    work.sweep()
 
     # classes of equal sets; one of each goes on
     classes = meta.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -370,6 +373,7 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         keys = keys.unionByName(sets.where(F.col("n") <= light).select("rep", "n", "s").mapInArrow(thrifty(_light_keys(percent)), "key long, rep long, n long").withColumn("at", F.lit(0).cast("long")))
     keys = work.save(keys, "keys")
     work.drop("frequencies", "posted")
+    work.sweep()
 
     found = work.save(keys.select("rep").distinct().select("rep", F.col("rep").alias("component")), "alone")
     links, tested, paying, left, k = None, None, True, None, 0
@@ -379,20 +383,27 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         if lists.isEmpty():
             rest = None
             break
+        # closed lists stay closed, so later passes do not meet them again
+        in_lists = work.save(in_lists.join(lists.select("key"), "key", "left_semi"), f"in-{k}")
+        work.drop("keys", f"in-{k - 1}")
+        keys = in_lists.drop("component")
         before, left = left, lists.agg(F.sum("pairs")).first()[0]
         if not paying and left >= (1 - WORTH) * before:
             rest = in_lists
             break
-        pairs = work.save(_partners(work, keys.join(lists.select("key"), "key", "left_semi"), found, tested, k, sets, percent), f"pairs-{k}")
+        pairs = work.save(_partners(work, in_lists, tested, k, sets, percent), f"pairs-{k}")
         new = work.save(_verified(pairs, sets, percent), f"links-{k}")
-        tested = pairs if tested is None else work.save(tested.unionByName(pairs), f"tested-{k}")
+        work.drop(f"open-{k}", f"ends-{k}", f"offers-{k}")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         paying = new.count() > WORTH * pairs.count()
         links = new if links is None else links.unionByName(new)
         found = _grown(work, found, new, f"pass-{k}")
+        work.drop("alone", f"pass-{k - 1}-found")
+        work.sweep()
         k += 1
     if rest is not None:
         words = [F.col("bits")[w].alias(f"w{w}") for w in range(WORDS)]
-        met = _met(work, rest.join(lists.select("key"), "key", "left_semi").join(sets.select("rep", *words), "rep"), percent)
+        met = _met(work, rest.join(sets.select("rep", *words), "rep"), percent)
         if tested is not None:
             met = met.join(tested, ["a", "b"], "left_anti")
         new = work.save(_verified(work.save(met, "met"), sets, percent), "links-last")

@@ -69,6 +69,14 @@ def test_components(spark):
     assert connected_components(work, spark.createDataFrame([], "a long, b long"), "none").count() == 0
 
 
+def test_few_edges_and_many_give_the_same_components(spark):
+    rnd = random.Random(6)
+    edges = [(rnd.randrange(80), rnd.randrange(80)) for _ in range(60)] + [(200, 300 + k) for k in range(20)]
+    frame, work = spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "test")
+    few, many = ({tuple(r) for r in connected_components(work, frame, f"t{n}", few=n).collect()} for n in (1000, 0))
+    assert few == many and few
+
+
 def words_of(text):
     return (text or "").encode().lower().split()
 
@@ -142,6 +150,28 @@ def test_near_copies_make_few_edges(spark, monkeypatch):
     assert made and max(made) <= 120
 
 
+def test_written_tables_go_when_read(spark, monkeypatch):
+    """A pass keeps its links and compared pairs; hash ranges, lists and components of earlier ones are deleted."""
+    import os
+
+    saved, held = [], []
+    save = Scratch.save
+
+    def noted(work, df, name):
+        out = save(work, df, name)
+        saved.append(name)
+        held.append({x for x in os.listdir(work.root.removeprefix("file://")) if not x.startswith(".")})
+        return out
+
+    monkeypatch.setattr(Scratch, "save", noted)
+    rnd = random.Random(3)
+    base = [f"w{k}" for k in range(200)]
+    texts = [(k, " ".join(f"x{k}" if rnd.random() < 0.005 else w for w in base)) for k in range(60)]
+    jaccard_join.link_components(spark, spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert "gathered" in saved and "gathered" not in held[-1]
+    assert all(sum(x.startswith("in-") for x in h) <= 2 and sum(x.startswith(("open-", "offers-", "ends-")) for x in h) <= 3 for h in held)
+
+
 def test_a_pair_meets_in_its_first_list(spark, monkeypatch):
     """Sets of different components that share many lists are compared in one of them."""
     made = []
