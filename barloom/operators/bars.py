@@ -109,7 +109,8 @@ def running_sum(ticks: DataFrame, value: Column, spec: BarSpec) -> DataFrame:
 
     Doubles are added by a tree of 16 children a node: of the rows so far the largest whole nodes come first, single rows
     last. So the rounding error grows with the logarithm of the rows, not with the rows, and is that of DuckDB's
-    windowed sum to the last bit, as long as a symbol has under 16 ** (LEVELS + 1) rows. All windows of one direction
+    windowed sum to the last bit, as long as a symbol has under 16 ** (LEVELS + 1) rows and DuckDB sorts it in a group of
+    its own (of many symbols several share one, and its tree begins with the group). All windows of one direction
     share one sort.
     """
     bits, inside = 4, Window.unboundedPreceding
