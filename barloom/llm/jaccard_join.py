@@ -10,9 +10,9 @@ Two sets link when 100 * |A and B| >= percent * |A or B|. Then each shares at le
    to inverted lists. The boundary is the size up to which subsets cost less than lists, from counted sizes.
 3. Links. In a pass each set is compared with one partner from another component, the same one for as many sets as
    possible, so a pass makes no more edges than there are sets, however many lists a group of near copies shares.
-   Components are formed, and the next pass looks only at lists whose members lie in different components. When a
-   pass neither links a good part of what it compares nor closes lists with a good part of the pairs left, all pairs
-   left in such lists are compared, each in the first list where it meets; so every component comes out exact. Before
+   Components are formed, and the next pass looks only at lists whose members lie in different components; there each
+   list offers more partners than in the first. When such a pass does not close lists with a good part of the pairs left, all pairs
+   left in open lists are compared, each in the first list where it meets; so every component comes out exact. Before
    full sets are fetched, two exact bounds drop pairs: a shared shingle's ranks in both sets bound the overlap from
    above, and so do the bits in which the parities of both sets' shingles differ.
 
@@ -44,8 +44,10 @@ MAX_LIGHT = 14
 WORDS = 16
 #: Members of one component in one list beyond which they are not joined among themselves.
 CROWD = 512
-#: Part of a pass's pairs that must link, or of the pairs in open lists that must go, for another pass to be worth it.
+#: Part of the pairs in open lists that must go in a pass for another one to be worth it.
 WORTH = 0.25
+#: Orders of the sets by which a list offers partners, after the first pass, which has one.
+ORDERS = 8
 #: Lists of a set, before one at hand, in which a pair is known to have met.
 BEFORE = 32
 
@@ -223,7 +225,7 @@ def _light_keys(percent: int):
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs (a, b), those whose full sets link; both sides come by equi-joins, only sets in pairs move."""
-    sets = sets.join(maybe_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "rep", "left_semi")
+    sets = sets.join(maybe_broadcast(pairs.select(F.explode(F.array("a", "b")).alias("rep"))), "rep", "left_semi")
     left = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"), F.col("t").alias("ta"))
     right = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"), F.col("t").alias("tb"))
 
@@ -235,13 +237,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return told.select("a", "b").distinct()
 
 
-def _may_link(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sizes and parity bits allow a link."""
+def _may_link(pairs: DataFrame, sets: DataFrame, percent: int, a: str, b: str) -> DataFrame:
+    """Of rows with two sets, in the columns a and b, those whose sizes and parity bits allow a link."""
     side = lambda x: sets.select(F.col("rep").alias(x), F.col("n").alias(f"{x}_n"), F.col("bits").alias(f"{x}_bits"))
-    n, m = F.col("a_n"), F.col("b_n")
-    differ = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+    differ = F.aggregate(F.zip_with(f"{a}_bits", f"{b}_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     by_bits = (n + m - differ) / F.lit(2.0) >= (percent * (n + m)) / F.lit(100.0 + percent) - 1e-9
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(_sizes_fit(n, m, percent) & by_bits).select("a", "b").distinct()
+    return pairs.join(side(a), a).join(side(b), b).where(_sizes_fit(n, m, percent) & by_bits).select(*pairs.columns)
 
 
 def _sizes_fit(a, b, percent: int):
@@ -281,31 +283,33 @@ def _meet(left: DataFrame, right: DataFrame, apart, percent: int) -> DataFrame:
 def _partners(work: Scratch, in_lists: DataFrame, tested: DataFrame | None, k: int, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): for each set of an open list at most one partner there, from another component, not compared yet.
 
-    in_lists has key, rep and component, of open lists only. A list offers its first and its last member in an order of all sets
-    that differs from pass to pass; where these lie in different components every member has a partner. Of its lists'
-    offers a set takes the first that size and bits allow to link.
+    in_lists has key, rep and component, of open lists only. A list offers its first and its last member in orders of all
+    sets that differ from pass to pass: in one order at first, then in ORDERS, as two components may be joined by few of
+    their pairs only. Of its lists' offers from other components a set takes the first that size and bits allow to link.
     """
-    here = in_lists.select("key", "rep", "component").withColumn("order", F.xxhash64("rep", F.lit(100 + k)))
-    offer = F.struct("order", "rep", "component")
-    ends = here.groupBy("key").agg(F.min(offer).alias("x"), F.max(offer).alias("y"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    ends = work.save(ends.select("key", "x", "y"), f"ends-{k}")
-    met = here.join(ends, "key").withColumn("other", F.when(F.col("component") != F.col("x.component"), F.col("x")).when(F.col("component") != F.col("y.component"), F.col("y")))
-    offers = met.where("other is not null").select("rep", F.col("other.rep").alias("other"), F.col("other.order").alias("order")).distinct()
-    offers = work.save(offers.withColumns({"a": F.least("rep", "other"), "b": F.greatest("rep", "other")}), f"offers-{k}")
-    pairs = offers.select("a", "b").distinct()
+    here = in_lists.select("key", "rep", "component")
+    member = lambda end, order: (x := end(F.struct(F.xxhash64("rep", F.lit(100 + ORDERS * k + order)), "rep", "component")), F.struct(x["rep"].alias("rep"), x["component"].alias("component")))[1]
+    ends = here.groupBy("key").agg(F.array_distinct(F.array(*[member(end, order) for order in range(ORDERS if k else 1) for end in (F.min, F.max)])).alias("ends"))
+    ends = work.save(ends, f"ends-{k}")
+    # lists of one group offer the same sets, so these are put together before each offer becomes a row
+    others = F.sort_array(F.transform(F.filter("ends", lambda x: x["component"] != F.col("component")), lambda x: x["rep"]))
+    met = here.join(ends, "key").select("rep", others.alias("others")).where(F.size("others") > 0)
+    offers = met.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_set("others"))).alias("others")).select("rep", F.explode("others").alias("other"))
+    offers = work.save(offers, f"offers-{k}").withColumns({"a": F.least("rep", "other"), "b": F.greatest("rep", "other")})
     if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    near = offers.join(_may_link(pairs, sets, percent), ["a", "b"])
-    chosen = near.groupBy("rep").agg(F.min(F.struct("order", "a", "b")).alias("offer"))
+        offers = offers.join(maybe_broadcast(tested), ["a", "b"], "left_anti")
+    near = _may_link(offers, sets, percent, "rep", "other")
+    chosen = near.groupBy("rep").agg(F.min(F.struct(F.xxhash64("other", F.lit(100 + ORDERS * k)).alias("order"), "a", "b")).alias("offer"))
     return chosen.select("offer.a", "offer.b").distinct()
 
 
 def _grown(work: Scratch, found: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """Components (rep, component) after more links (a, b) between sets: components of the graph between components."""
-    side = lambda x: found.select(F.col("rep").alias(x), F.col("component").alias(f"{x}_in"))
+    told = maybe_broadcast(found)
+    side = lambda x: told.select(F.col("rep").alias(x), F.col("component").alias(f"{x}_in"))
     edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("a_in").alias("a"), F.col("b_in").alias("b"))
     joined = connected_components(work, edges, name).select(F.col("node").alias("component"), F.col("component").alias("into"))
-    return work.save(found.join(joined, "component", "left").select("rep", F.coalesce("into", "component").alias("component")), f"{name}-found")
+    return work.save(found.join(maybe_broadcast(joined), "component", "left").select("rep", F.coalesce("into", "component").alias("component")), f"{name}-found")
 
 
 def _open(in_lists: DataFrame) -> DataFrame:
@@ -376,9 +380,9 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     work.sweep()
 
     found = work.save(keys.select("rep").distinct().select("rep", F.col("rep").alias("component")), "alone")
-    links, tested, paying, left, k = None, None, True, None, 0
+    links, tested, left, k = None, None, None, 0
     while True:
-        in_lists = keys.join(found, "rep")
+        in_lists = keys.join(maybe_broadcast(found), "rep")
         lists = work.save(_open(in_lists), f"open-{k}")
         if lists.isEmpty():
             rest = None
@@ -388,14 +392,14 @@ def link_components(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         work.drop("keys", f"in-{k - 1}")
         keys = in_lists.drop("component")
         before, left = left, lists.agg(F.sum("pairs")).first()[0]
-        if not paying and left >= (1 - WORTH) * before:
+        # how much a pass closes counts, not how many of its pairs link: where few are left to find, most of few do
+        if k > 1 and left >= (1 - WORTH) * before:
             rest = in_lists
             break
         pairs = work.save(_partners(work, in_lists, tested, k, sets, percent), f"pairs-{k}")
         new = work.save(_verified(pairs, sets, percent), f"links-{k}")
         work.drop(f"open-{k}", f"ends-{k}", f"offers-{k}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        paying = new.count() > WORTH * pairs.count()
         links = new if links is None else links.unionByName(new)
         found = _grown(work, found, new, f"pass-{k}")
         work.drop("alone", f"pass-{k - 1}-found")

@@ -172,6 +172,21 @@ def test_written_tables_go_when_read(spark, monkeypatch):
     assert all(sum(x.startswith("in-") for x in h) <= 2 and sum(x.startswith(("open-", "offers-", "ends-")) for x in h) <= 3 for h in held)
 
 
+def test_rare_links_in_common_lists_take_few_passes(spark, monkeypatch):
+    """Sets of common passages share long lists in which few pairs link; passes end once they close little."""
+    saved = []
+    save = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda work, df, name: saved.append(name) or save(work, df, name))
+    rnd = random.Random(5)
+    passages = [" ".join(f"p{p}-{k}" for k in range(60)) for p in range(15)]
+    texts = {k: " ".join(passages[p] for p in sorted(rnd.sample(range(15), 10))) for k in range(150)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in jaccard_join.link_components(spark, docs).collect()}
+    assert found == plain_components(plain_sets(texts))
+    assert 1 < len(set(found.values())) < 140
+    assert sum(x.startswith("pairs-") for x in saved) <= 4
+
+
 def test_a_pair_meets_in_its_first_list(spark, monkeypatch):
     """Sets of different components that share many lists are compared in one of them."""
     made = []
