@@ -4,18 +4,21 @@ A bounded sample of labelled documents gives the examples; all their words are t
 for IDF, is counted over the whole corpus. A term's IDF is multiplied by its relevance: 1 less the share of its
 chi-square with the label that chance explains, at least FLOOR; so words that go with a label (toxic or clean) weigh
 most, and all others still count. The examples' unit vectors go to a block-max inverted index: postings by term, in
-blocks of example numbers, with the largest weight of a term in each block that holds it; a common term's postings are
-an array of all examples. A document's weights times these give every block's bound; blocks are scored in falling order of bound until none can reach the k-th best cosine,
-so the k nearest examples are exact. They vote with their cosine as weight; isotonic regression on votes that leave
-the example itself out turns a vote into a probability.
+blocks of example numbers. A common term's postings are an array of all examples, multiplied for many texts at once;
+those of a term with fewer postings than blocks are added up as they are; of any other term the largest weight in each
+block is kept. A document's weights times these give every block's bound; blocks are scored in falling order of bound
+until none can reach the k-th best cosine, so the k nearest examples are exact. They vote with their cosine as weight;
+isotonic regression on votes that leave the example itself out turns a vote into a probability.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from dataclasses import dataclass, field
-from itertools import repeat
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import cache
+from itertools import islice, repeat
 
 import numpy as np
 from pyspark import Broadcast
@@ -31,21 +34,34 @@ EXAMPLES, NEIGHBOURS = 4000, 25
 CHANCE, FLOOR = 15.0, 0.05
 #: Examples in a block. A term in more than one of so many examples has its postings as an array with every example.
 BLOCK, COMMON = 128, 16
+#: Texts whose common terms are multiplied at once. Always so many rows, so that a text's figures do not depend on how many come with it.
+TOGETHER = 64
 #: Weight of the prior in a vote.
 PRIOR_WEIGHT = 0.25
 #: Each label gets this part of the examples at least, if it has as many rows.
 LEAST_PART = 0.1
 THRESHOLD = 0.7
+TINY = np.nextafter(0.0, 1.0)
 _WORDS = re.compile(r"\w+").findall
 #: Of ASCII characters: those of words in lower case, a space for any other.
 _ASCII = "".join(c.lower() if c.isalnum() or c == "_" else " " for c in map(chr, range(128)))
 
 
+@cache
+def _units() -> np.ndarray:
+    """Of UTF-16 units: those of words as they are, a space for any other."""
+    return np.array([c if chr(c).isalnum() or chr(c) == "_" else 32 for c in range(1 << 16)], np.uint16)
+
+
 def words_of(text: str | None) -> list[str]:
-    """Runs of word characters in lower case; ASCII texts need no pattern for that."""
+    """Runs of word characters in lower case; only texts beyond Unicode's first plane need the pattern for that."""
     if not text:
         return []
-    return text.translate(_ASCII).split() if text.isascii() else _WORDS(text.lower())
+    if text.isascii():
+        return text.translate(_ASCII).split()
+    text = text.lower()
+    units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2")
+    return _units()[units].astype("<u2", copy=False).tobytes().decode("utf-16-le").split() if len(units) == len(text) else _WORDS(text)
 
 
 def word_counts(text: str | None) -> Counter:
@@ -89,12 +105,14 @@ def _holding(shared):
         import pyarrow as pa
 
         wanted = shared.value
-        known, held, n = wanted.__contains__, Counter(), 0
+        held, n = np.zeros(len(wanted) + 1, np.int64), 0  # the last one: words that are no term
         for batch in batches:
             for (text,) in rows_of(batch, "text"):
                 n += 1
-                held.update(filter(known, set(words_of(text))))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *map(wanted.get, held)], pa.int32()), pa.array([n, *held.values()], pa.int64())], ["term", "n"])
+                words = set(words_of(text))
+                held[np.fromiter(map(wanted.get, words, repeat(-1)), np.int64, len(words))] += 1
+        found = np.flatnonzero(held[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, found), pa.int32()), pa.array(np.append(n, held[found]), pa.int64())], ["term", "n"])
 
     return run
 
@@ -134,19 +152,15 @@ class Neighbours:
     labels: np.ndarray
     row: np.ndarray  # [term]: of a common one its number among those, else -1
     common: np.ndarray  # [common term, example]: weights, up to whole blocks
-    first: np.ndarray  # [term]: where its blocks begin
-    block: np.ndarray  # of (term, block): number
-    most: np.ndarray  # of (term, block): largest weight
-    begin: np.ndarray  # of (term, block): where its postings begin
+    bounded: np.ndarray  # [term]: of one that is not common and has a posting for each block at least its number among those, else -1
+    most: np.ndarray  # [bounded term, block]: largest weight
+    cut: np.ndarray  # [bounded term, block]: where its postings begin; at the end where they end
+    begin: np.ndarray  # [term]: where its postings begin
     examples: np.ndarray  # of postings, by term, then example
     weights: np.ndarray
     prior: float
     lift: tuple[float, float] = (1.0, 1.0)  # labelled rows that an example of label 0, of label 1 stands for
     knots: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
-    room: np.ndarray | None = field(default=None, repr=False, compare=False)  # where a text's rows of ``common`` are gathered
-
-    def __getstate__(self) -> dict:
-        return {**vars(self), "room": None}
 
     @classmethod
     def build(cls, vectors: list[tuple[list[int], list[int]]], labels: list[int], weight_of: np.ndarray, unknown: float, prior: float, lift: tuple[float, float] = (1.0, 1.0)) -> Neighbours:
@@ -166,61 +180,83 @@ class Neighbours:
         here = row[term] >= 0
         common[row[term[here]], example[here]] = weight[here]
         term, example, weight = term[~here], example[~here], weight[~here]
-        place = term * blocks + example // BLOCK
-        begin = np.flatnonzero(np.diff(place, prepend=-1))
-        place = place[begin]
-        most = np.maximum.reduceat(weight, begin) if len(begin) else np.zeros(0)
-        first = np.searchsorted(place // blocks, np.arange(len(weight_of) + 1))
-        return cls(weight_of, unknown, np.array(labels, float), row, common, first, (place % blocks).astype(np.int32), most, np.append(begin, len(term)), example.astype(np.int32), weight, prior, lift)
+        begin = np.searchsorted(term, np.arange(len(weight_of) + 1))
+        many = np.flatnonzero(np.diff(begin) >= blocks)
+        bounded = np.full(len(weight_of), -1)
+        bounded[many] = np.arange(len(many))
+        cut = np.searchsorted(term * blocks + example // BLOCK, many[:, None] * blocks + np.arange(blocks + 1))
+        most = np.zeros((len(many), blocks))
+        here = bounded[term] >= 0
+        np.maximum.at(most, (bounded[term[here]], example[here] // BLOCK), weight[here])
+        return cls(weight_of, unknown, np.array(labels, float), row, common, bounded, most, cut, begin, example.astype(np.int32), weight, prior, lift)
 
     def nearest(self, terms, counts, others=(), k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest with a cosine above 0, ties to the smaller number.
 
         Words that are no term (``others``: their counts) count in the document's length only.
         """
-        t = np.asarray(terms, np.int64)
-        if not len(t):
-            return np.zeros(0, np.int64), np.zeros(0)
-        q = unit(t, counts, self.weight_of, others, self.unknown)
-        row = self.row[t]
-        rows, often = row[row >= 0], q[row >= 0]
-        t, q = t[row < 0], q[row < 0]
-        size = self.first[t + 1] - self.first[t]
-        entry, weight = _spread(self.first[t], size), np.repeat(q, size)
-        block = self.block[entry]
-        # common terms: exact at once; the others: bounded by what they weigh most in a block
-        if self.room is None:
-            self.room = np.empty(self.common.shape)
-        mine = np.take(self.common, rows, axis=0, out=self.room[: len(rows)], mode="clip")
-        part = np.einsum("i,ij->j", often, mine).reshape(-1, BLOCK)
-        bound = part.max(1) + np.bincount(block, weight * self.most[entry], len(part))
+        return next(self.each_nearest([(terms, counts, others)], k, [without]))
+
+    def each_nearest(self, texts: Iterable[tuple], k: int = NEIGHBOURS, without: Iterable[int] = repeat(-1)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """What ``nearest`` gives for each (terms, counts, others), TOGETHER of them at a time."""
+        texts, without = iter(texts), iter(without)
+        while True:
+            rare, weight = [], np.zeros((TOGETHER, len(self.common)))
+            for n, (terms, counts, others) in enumerate(islice(texts, TOGETHER)):
+                t = np.asarray(terms, np.int64)
+                q = unit(t, counts, self.weight_of, others, self.unknown)
+                row = self.row[t]
+                often = row >= 0
+                weight[n, row[often]] = q[often]
+                rare.append((t[~often], q[~often]))
+            if not rare:
+                return
+            for part, (t, q) in zip(weight @ self.common, rare):  # noqa: B905
+                yield self._best(part, t, q, k, next(without))
+
+    def _best(self, part: np.ndarray, t: np.ndarray, q: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """``part``: every example's share of the cosine from common terms; t, q: the other terms and their weights."""
+        # terms of few postings: exact at once, too; the others: bounded by what they weigh most in a block
+        row = self.bounded[t]
+        few = row < 0
+        begin = self.begin[t[few]]
+        part = (part + self._sum(begin, self.begin[t[few] + 1] - begin, q[few], len(part))).reshape(-1, BLOCK)
+        row, q = row[~few], q[~few]
+        bound = part.max(1) + q @ self.most[row]
+        cut = self.cut[row]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         score = np.zeros(part.shape)
         flat = score.reshape(-1)
         done, step, least = 0, max(1, len(bound) // 4), 0.0
-        hit = np.zeros(0, np.int64)
-        while done < len(order) and bound[order[done]] >= least - 1e-12:
-            # the next blocks, four times as many each time
-            chosen = np.zeros(len(bound), bool)
-            chosen[order[done : done + step]] = True
-            mine = np.flatnonzero(chosen[block])
-            e = entry[mine]
-            length = self.begin[e + 1] - self.begin[e]
-            at = _spread(self.begin[e], length)
-            score[chosen] = part[chosen]
-            flat += np.bincount(self.examples[at], np.repeat(weight[mine], length) * self.weights[at], len(flat))
+        hit = order[:0]
+        while True:
+            # the next blocks that may still reach the k-th best, four times as many each time; neighbours in one go
+            some = order[done : done + step]
+            some = some[bound[some] >= least - 1e-11]
+            if not len(some):
+                break
+            chosen = np.zeros(len(bound) + 2, np.int8)
+            chosen[some + 1] = 1
+            edge = np.flatnonzero(np.diff(chosen))
+            begin = cut[:, edge[::2]]
+            score[some] = part[some]
+            flat += self._sum(begin.ravel(), (cut[:, edge[1::2]] - begin).ravel(), np.repeat(q, len(edge) // 2), len(flat))
             done, step = done + step, 4 * step
             if without >= 0:
                 flat[without] = 0
-            hit = np.flatnonzero(flat)
-            if len(hit) >= k:
+            hit = np.flatnonzero(flat >= max(least - 1e-11, TINY))
+            if len(hit) > k:
                 least = np.partition(flat[hit], len(hit) - k)[len(hit) - k]
-        if len(hit) > k:
-            hit = hit[flat[hit] >= least - 1e-11]
+        hit = hit[flat[hit] >= least - 1e-11]
         best = hit[np.lexsort((hit, -np.round(flat[hit], 12)))[:k]]
         return best, np.minimum(flat[best], 1.0)
 
+    def _sum(self, begin: np.ndarray, size: np.ndarray, weight: np.ndarray, examples: int) -> np.ndarray:
+        """By example: weights of the postings begin[i] .. begin[i] + size[i] - 1, times weight[i], added up."""
+        at = _spread(begin, size)
+        return np.bincount(self.examples[at], np.repeat(weight, size) * self.weights[at], examples)
+
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         w = cosines * np.where(self.labels[ids] > 0, self.lift[1], self.lift[0])
         return float((w @ self.labels[ids] + PRIOR_WEIGHT * self.prior) / (w.sum() + PRIOR_WEIGHT))
@@ -250,13 +286,17 @@ def unit(terms: np.ndarray, counts, weight_of: np.ndarray, others=(), unknown: f
     return w / np.sqrt(length) if length else w
 
 
-def _company(terms, telling: np.ndarray, holders: np.ndarray) -> tuple[int, int]:
-    """Examples in this order stand near their like: by their most telling term, then by their most common one."""
+def _company(terms, name: np.ndarray, telling: np.ndarray, holders: np.ndarray) -> tuple[int, int]:
+    """Examples in this order stand near their like: by their most telling term, then by their most common one.
+
+    ``name``: of terms, their place in alphabetical order.
+    """
     t = np.asarray(terms, np.int64)
     if not len(t):
         return -1, -1
+    t = t[np.argsort(name[t])]
     best = int(t[np.argmax(telling[t])])
-    return best if telling[best] > 2 * FLOOR else -1, int(t[np.argmax(holders[t])])
+    return int(name[best]) if telling[best] > 2 * FLOOR else -1, int(name[t[np.argmax(holders[t])]])
 
 
 @dataclass
@@ -268,16 +308,16 @@ class Model:
     shared: Broadcast | None = None
 
     def judge(self):
-        """A function of (text, neighbours) for tasks: (score, nearest examples). It takes only the calibration along."""
+        """A function of (texts, neighbours) for tasks: (score, nearest examples) of each. It takes only the calibration along."""
         knots, shared = self.index.knots, self.shared
         if shared is None:
             plain = self.index
-            return lambda text, neighbours: (plain.prior, np.zeros(0, np.int64))
+            return lambda texts, neighbours: ((plain.prior, np.zeros(0, np.int64)) for _ in texts)
 
-        def run(text: str | None, neighbours: int) -> tuple[float, np.ndarray]:
+        def run(texts: Iterable[str | None], neighbours: int) -> Iterator[tuple[float, np.ndarray]]:
             wanted, index = shared.value
-            near, cosines = index.nearest(*wanted.counts(text), neighbours)
-            return calibrated(index.vote(near, cosines), knots), near
+            for near, cosines in index.each_nearest(map(wanted.counts, texts), neighbours):
+                yield calibrated(index.vote(near, cosines), knots), near
 
         return run
 
@@ -313,8 +353,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not (positives and negatives):
         return Model(Vocabulary(), [], Neighbours.build([], [], np.zeros(0), 0.0, prior))
     listed = sample.select("toxic", "text").mapInArrow(thrifty(_listed), "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow().sort_by("term")
-    wanted = Vocabulary(listed.column("term").to_pylist())
     a, b = (listed.column(c).to_numpy().astype(float) for c in ("a", "b"))
+    # terms that many examples hold come first, so that what is looked up most lies together in memory
+    name = np.argsort(-(a + b), kind="stable")
+    wanted, a, b = Vocabulary(listed.column("term").take(name).to_pylist()), a[name], b[name]
     del listed
     vocabulary = spark.sparkContext.broadcast(wanted)
     held = slim.select("text").mapInArrow(thrifty(_holding(vocabulary)), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
@@ -326,7 +368,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     telling = relevance(a, b, positives, negatives)
 
     rows = [(r["id"], *wanted.counts(r["text"])[:2]) for r in sample.select("id", "text").toLocalIterator()]
-    rows = sorted(rows, key=lambda r: (_company(r[1], telling, a + b), r[0]))
+    rows = sorted(rows, key=lambda r: (_company(r[1], name, telling, a + b), r[0]))
     ids = [r[0] for r in rows]
     index = Neighbours.build([r[1:] for r in rows], [toxic[i] for i in ids], idf * telling, float(np.log(1 + count[-1]) + 1) * FLOOR, prior, lift)
     del rows
@@ -339,7 +381,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         terms, examples = shared.value
         for batch in batches:
             at = [numbers[key] for key in batch.column(0).to_pylist()]
-            votes = [examples.vote(*examples.nearest(*terms.counts(text), neighbours, without=k)) for k, (text,) in zip(at, rows_of(batch, "text"), strict=True)]
+            texts = (terms.counts(text) for (text,) in rows_of(batch, "text"))
+            votes = [examples.vote(*found) for found in examples.each_nearest(texts, neighbours, at)]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(votes, pa.float64())], ["k", "vote"])
 
     spread = sample.select("id", "text").repartition(4 * spark.sparkContext.defaultParallelism, "id")
@@ -366,8 +409,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches):
         for batch in batches:
             scores, near = [], []
-            for (text,) in rows_of(batch, text_col):
-                found, ids = judge(text, neighbours)
+            for found, ids in judge((text for (text,) in rows_of(batch, text_col)), neighbours):
                 scores.append(found)
                 near.append([names[i] for i in ids[:evidence]])
             kind = batch.schema.field(0).type
@@ -385,7 +427,8 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text", neighbours: int
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([judge(text, neighbours)[0] < threshold for (text,) in rows_of(batch, text_col)], pa.bool_()))
+            texts = (text for (text,) in rows_of(batch, text_col))
+            yield batch.filter(pa.array([found < threshold for found, _ in judge(texts, neighbours)], pa.bool_()))
 
     return docs.mapInArrow(thrifty(run), docs.schema)
 
